@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ogg, simhash, token_files, topk, toxicity
+from . import bpe, langid, line_dedup, mixing, ogg, simhash, token_files, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
@@ -48,5 +53,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op5_bpe, op7_mixing, op8_langid, op9_token_files, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_line_dedup, op5_bpe, op7_mixing, op8_langid, op9_token_files, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
