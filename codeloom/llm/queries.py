@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, mixing, ogg, simhash, token_files, topk, toxicity
+from . import bpe, langid, line_dedup, mixing, ogg, simhash, suffix_dedup, token_files, topk, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
@@ -53,5 +57,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_line_dedup, op5_bpe, op7_mixing, op8_langid, op9_token_files, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_line_dedup, op5_bpe, op6_suffix_dedup, op7_mixing, op8_langid, op9_token_files, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
