@@ -107,6 +107,11 @@ def plan(sizes: list[tuple[str | None, int]], share: float, limit: float, weight
 _PLAN = "source string, source_size long, target double, passes int, words long, blocks long, quota long, step long, first long, ends array<long>"
 
 
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 20) -> DataFrame:
+    """Adds the size of each row and the keyed hash that orders it."""
+    return docs.withColumn("__size", word_count(F.col(text))).withColumn("__mark", F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, weights=WEIGHTS, shards: int = 16, seed: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every row with size, source_size, target, passes and the blocks that it takes.
 
@@ -115,8 +120,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     The sources (one small row each, not documents) are planned on the driver.
     """
     spark = docs.sparkSession
-    mark = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))
-    sized = docs.withColumn("__size", word_count(F.col(text))).withColumn("__mark", mark)
+    sized = docs if "__mark" in docs.columns else measured(docs, key, text, seed)
     light = sized.select(F.col(source).alias("__source"), F.col(key).alias("__key"), "__size", "__mark")
     # buckets of the keyed order; as many as the rows need, the same for every source
     per_source = light.groupBy("__source").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")).collect()
@@ -148,4 +152,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.withColumn("__copies", F.when(F.col("__size") == 0, 0).otherwise(F.col("passes") + has.cast("int")))
     rows = rows.withColumn("__shard", F.when(has, F.size(F.filter("ends", lambda e: e <= middle))))
     rows = rows.withColumn("__place", F.when(has, F.xxhash64(F.lit(seed + 1), F.col("__mark"))))
-    return rows.select(*docs.columns, "__size", "source_size", "target", "__taken", "__copies", "__shard", "__place")
+    return rows.select(*(c for c in docs.columns if c not in ("__size", "__mark")), "__size", "source_size", "target", "__taken", "__copies", "__shard", "__place")
+
+
+def draw(docs: DataFrame, **options) -> DataFrame:
+    """The mix as whole rows with the columns of ``docs``: each as often as it is drawn, locally shuffled."""
+    seed = options.get("seed", 20)
+    rows = mix(docs, **options).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    order = F.xxhash64(F.lit(seed), "__copy", "__place", F.col(options.get("key", "doc_id")).cast("string"))
+    return rows.withColumn("__order", order).sortWithinPartitions("__order").select(*docs.columns)

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_rows, stash, texts_of
 from .components import components
@@ -107,3 +109,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of each group of near-duplicates; of rows that repeat it, one."""
+    found = near_duplicates(docs, key, text, most, width)
+    gone = stash(found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct(), "simhash-gone")
+    twice = docs.groupBy(key).count().where("count > 1")
+    if not twice.isEmpty():
+        # rows that share a key are told apart by their prints: the anti-join alone would take or leave all of them
+        columns = docs.columns
+        named = found.select(F.col(key).alias("__key"), "component_id", "fp").distinct()
+        printed = with_fingerprint(docs, text, width)
+        rows = printed.join(named, printed[key].eqNullSafe(named["__key"]) & (printed["__fp"] == named["fp"])).where(F.col(key).eqNullSafe(F.col("component_id")))
+        return rows.withColumn("__group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), "fp"))).dropDuplicates(["__group"]).select(*columns)
+    return docs.join(gone, docs[key].eqNullSafe(gone["__key"]), "left_anti")
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
+    """The rows of ``docs`` and their fingerprint, ``__fp``."""
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, width) for t in texts_of(batch, text)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
