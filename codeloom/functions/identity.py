@@ -24,7 +24,7 @@ def lf(text: Column) -> Column:
 
 def content_hash(content: Column) -> Column:
     """MD5 with line ends made alike. The bytes pass as Latin-1, so nothing else changes."""
-    return F.md5(F.encode(lf(F.decode(content, F.lit("ISO-8859-1"))), F.lit("ISO-8859-1")))
+    return F.md5(F.encode(lf(F.decode(content, "ISO-8859-1")), "ISO-8859-1"))
 
 
 def summary_key(text: Column) -> Column:
