@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +86,6 @@ def three_tiers(path: str, text: str, symbols: list[dict]) -> list[dict]:
 
 def chunk_files(files: DataFrame, tier: int = 2) -> DataFrame:
     """Token windows of whole files (path, text), over Arrow batches."""
-    import pandas as pd
-
     def run(batches):
         for pdf in batches:
             rows = [c for p, t in zip(pdf.path, pdf.text.fillna("")) for c in chunk_text(p, t, "Full File", "file", [], tier)]

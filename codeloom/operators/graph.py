@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,6 @@ def best_first(seeds: list[tuple[str, float]], neighbours_of, decay: float = 0.7
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 3, **options) -> DataFrame:
     """``best_first`` for each query (columns query_id, fqn, score), over the part of the graph within
     ``hops`` steps of its seeds; one small group a query."""
-    import pandas as pd
-
     steps = adjacency(edges).select("node", "next", "direction").distinct()
     reach = seeds.select("query_id", F.col("fqn").alias("node")).distinct()
     around = None

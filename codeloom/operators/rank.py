@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ def category_boost(pool: DataFrame, wanted: Column) -> DataFrame:
 
 def rerank(pool: DataFrame, predict) -> DataFrame:
     """Replaces scores by a model's: ``predict`` maps lists of queries and texts to a list of floats."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series(predict(list(query), list(text)), dtype=float)
@@ -59,8 +58,6 @@ def fuse_summaries(final: DataFrame, summaries: DataFrame, file_weight: float =
 def pack_skipping(rows: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
     """Greedy packing in order of ``pos``: an item goes in if used + its tokens stay below the budget; others
     are skipped and the rest still tried. One small list a query."""
-    import pandas as pd
-
     schema = rows.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,8 +128,6 @@ def hashed_embedder(text: str, dim: int = 64) -> list[float]:
 
 def embed(docs: DataFrame, embedder=hashed_embedder, text: str = "text") -> DataFrame:
     """Adds ``embedding`` by any function from a text to a list of floats, over Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(embedder)
