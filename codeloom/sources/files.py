@@ -180,8 +180,8 @@ def index_location(root: str, source: str = "worktree") -> str:
 def project_imports(files: DataFrame) -> DataFrame:
     """Import edges of ``.csproj`` (project and package references) and ``.sln`` files: source_fqn, target, kind."""
     project = F.transform(F.regexp_extract_all("text", F.lit(r'<ProjectReference\s[^>]*Include="([^"]+)"'), F.lit(1)), lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
-    names = F.regexp_extract_all("text", F.lit(r'<PackageReference\s[^>]*Include="([^"]+)"'), F.lit(1))
-    packages = F.transform(names, lambda n: F.concat_ws("/", n, F.nullif(F.regexp_extract(F.col("text"), F.concat(F.lit('Include="'), n, F.lit('"[^>]*?Version="([^"]+)"')), F.lit(1)), F.lit(""))))
+    elements = F.regexp_extract_all("text", F.lit(r'<PackageReference\s[^>]*>'), F.lit(0))
+    packages = F.transform(elements, lambda e: F.concat_ws("/", F.regexp_extract(e, r'Include="([^"]+)"', 1), F.nullif(F.regexp_extract(e, r'Version="([^"]+)"', 1), F.lit(""))))
     solution = F.transform(F.regexp_extract_all("text", F.lit(r'Project\("[^"]*"\)\s*=\s*"[^"]*",\s*"([^"]+\.\w+proj)"'), F.lit(1)), lambda x: F.replace(x, F.lit("\\"), F.lit("/")))
     found = F.when(F.lower("path").endswith(".sln"), solution).when(F.lower("path").endswith(".csproj"), F.concat(project, packages))
     return files.select(F.col("path").alias("source_fqn"), F.explode(found).alias("target"), F.lit("IMPORTS").alias("kind"))
