@@ -69,3 +69,20 @@ def test_table_function(spark):
     files = spark.createDataFrame([("a.py", PY), ("b.py", "def ("), ("c.txt", "x"), ("d.py", None)], "path string, text string")
     rows = parse_files(files).cache()
     assert symbols(rows).count() == 3 and edges(rows).where("kind = 'CALLS'").count() == 2 and references(rows).count() >= 2
+
+
+def test_audits(spark):
+    from codeloom.operators import audits
+
+    files = spark.createDataFrame([("c.L5X", RUNGS), ("bad.L5X", "<")], "path string, text string")
+    rungs = audits.rungs(files).cache()
+    rows = audits.operands(rungs).cache()
+    assert rungs.count() == 2 and rows.count() == 5
+    assert audits.role_audit(rows).where("contradiction").count() == 0
+    tags = spark.createDataFrame([("Valve",)], "name string")
+    assert {r.role: (r.n, r.resolved) for r in audits.resolution_audit(rows, tags).collect()} == {"r": (1, 0), "w": (2, 2)}
+    assert audits.controller_profile(rungs).first().rungs == 2 and audits.survey(rows, "mnemonic").first().mnemonic == "JSR"
+    need = spark.createDataFrame([("OTE", 3)], "name string, n_required int")
+    assert audits.binding_check(rows, need).count() == 2
+    assert audits.scrub(rows, "operand").select("operand").distinct().count() == rows.select("operand").distinct().count()
+    assert [audits.look(x) for x in ("", "-1.5", "'a'", "a+b", "L:1:I.D", "a[1]", "a.b", "a")] == ["empty", "number", "string", "expression", "module", "indexed", "member", "name"]
