@@ -126,7 +126,7 @@ def parse_script(path: str, text: str) -> list[dict]:
     for m in re.finditer(r"\btype\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=", s.code):
         s.symbol(m.start(), s.block(m.end()), "type_alias", f"{path}::{m[1]}", m[1])
     spans = sorted(s.spans)
-    for pattern, kind in ((r"<([A-Z]\w*)\.Provider\b", "PROVIDES_CONTEXT"), (r"\buseContext\(\s*([A-Z]\w*)", "CONSUMES_CONTEXT")):
+    for pattern, kind in ((r"<([A-Za-z_][\w.]*\.Provider)\b", "PROVIDES_CONTEXT"), (r"\buseContext\(\s*([A-Z]\w*)", "CONSUMES_CONTEXT")):
         for m in re.finditer(pattern, s.code):
             line = s.line(m.start())
             s.edge(next((f for a, b, f in spans if a <= line <= b), path), m[1], kind)
@@ -134,18 +134,6 @@ def parse_script(path: str, text: str) -> list[dict]:
     return s.out
 
 
-def script_tags(path: str, text: str) -> list[str]:
-    """Framework tags of a TS/JS file: directives of the first ten lines, pages, stores, contexts, hooks."""
-    head = "\n".join(text.split("\n")[:10])
-    rules = [
-        ("[CLIENT]", bool(re.search(r"['\"]use client['\"]", head))), ("[SERVER]", bool(re.search(r"['\"]use server['\"]", head))),
-        ("[PAGE]", path.endswith(("page.tsx", "page.jsx"))), ("[LAYOUT]", path.endswith(("layout.tsx", "layout.jsx"))),
-        ("[STORE]", "zustand" in text and "create(" in text), ("[JSX]", bool(re.search(r"<[A-Z]\w*[\s/>]", text))),
-        ("[HOOK]", bool(re.search(r"\b(?:function|const)\s+use[A-Z]\w*", text))), ("[CONTEXT]", "createContext(" in text),
-    ]
-    return [tag for tag, hit in rules if hit]
-
-
 def parse_csharp(path: str, text: str) -> list[dict]:
     """FQNs are Ns.Outer+Inner and Owner.Name/arity, without the path; symbols may stand in several files."""
     s = _Source(path, text)
@@ -247,12 +235,6 @@ def parse_cpp(path: str, text: str) -> list[dict]:
     return s.out
 
 
-def security_tags(text: str) -> list[str]:
-    """Tags of attributes and calls that matter for security in C# and C++."""
-    rules = [("[AUTHORIZE]", r"\[Authorize\b"), ("[ANONYMOUS]", r"\[AllowAnonymous\b"), ("[ENDPOINT]", r"\[Http(?:Get|Post|Put|Delete|Patch)\b"), ("[ANTIFORGERY]", r"\[ValidateAntiForgeryToken\b"), ("[ROUTE]", r"\[Route\b"), ("[UNSAFE]", r"\b(?:strcpy|strcat|sprintf|gets)\s*\("), ("[EXEC]", r"\b(?:system|popen|exec[lv]p?e?)\s*\(")]
-    return [tag for tag, pattern in rules if re.search(pattern, text)]
-
-
 def skeleton(text: str) -> str:
     """Bodies of functions and methods become `` { ... }``; types and declarations stay."""
     s, out, at = _Source("", text), [], 0

@@ -196,3 +196,16 @@ def test_stamps_and_batches(spark):
     out = {r.path: r.content_changed_at and r.content_changed_at.year for r in incremental.content_stamps(diff, stored, git, now).collect()}
     assert out == {"n": 2020, "d": 2024, "m": 2024, "k": None}
     assert incremental.token_batches([5, 9, 5, 1], 10) == [[1], [0, 2], [3]]
+
+
+def test_tags(spark):
+    from codeloom.functions import tags
+
+    page = "'use server'\nimport { create } from 'zustand'\nconst s = create(() => 1)\n"
+    rows = spark.createDataFrame([("/r/app/x/page.tsx", page), ("a.ts", "x\n" * 12 + "'use client'")], "p string, t string")
+    assert [r[0] for r in rows.select(tags.script_file(F.col("p"), F.col("t"))).collect()] == [["[USE_SERVER]", "[NEXT_PAGE]", "[ZUSTAND_STORE]"], []]
+    one = spark.createDataFrame([("a.tsx", "function", "useThing", "export function useThing() { admin.auth(); updateDoc(x); return <A.Provider value={1}/> }")], "p string, k string, n string, t string")
+    got = one.select(tags.script_symbol(F.col("p"), F.col("k"), F.col("n"), F.col("t"), F.array(F.lit("[USE_SERVER]")))).first()[0]
+    assert got[:6] == ["[REACT_COMPONENT]", "[ELEVATED_PRIVILEGE]", "[HOOK]", "[CONTEXT_PROVIDER]", "[FIRESTORE_MUTATION]", "[SERVER_ACTION]"]
+    assert one.select(tags.csharp_symbol(F.lit("Go"), F.lit("[HttpPost, Authorize] void Go() {}"))).first()[0] == ["[CS_AUTHORIZE]", "[CS_HTTP_MUTATE]"]
+    assert one.select(tags.cpp_symbol(F.lit("go"), F.lit("strcpy(a, b); system(c);"))).first()[0] == ["[CPP_UNSAFE_BUF]", "[CPP_EXEC_CMD]"]
