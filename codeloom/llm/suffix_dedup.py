@@ -165,7 +165,7 @@ def _types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last place holds the smallest letter alone."""
     n = len(s)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(s[1:].astype(np.int32) - s[:-1])
+    step[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
     step[-1] = 1
     known = np.where(step != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(known[::-1])[::-1]
@@ -234,55 +234,62 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return name[lms], int((~same).sum()) + 1
 
 
-def _sort_names(s: list[int], letters: int) -> list[int]:
-    """Suffix array of a string of numbers whose last is the one smallest: induced sorting place by place."""
+def _refine(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, tail: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each letters[start:stop], then of its tail; equal ones have equal ranks. Rounds sort only what is still tied."""
+    bits = int(letters.max() + 1).bit_length()
+    per = max(1, 63 // bits)
+    padded = np.concatenate([letters + 1, np.zeros(per, np.int64)])
+    rank, active, at = np.zeros(len(start), np.int64), np.arange(len(start)), start.copy()
+
+    def split(active: np.ndarray, key: np.ndarray) -> np.ndarray:
+        order = np.lexsort((key, rank[active]))
+        active, key = active[order], key[order]
+        old = rank[active]
+        here = np.arange(len(active))
+        group = np.ones(len(active), bool)
+        group[1:] = old[1:] != old[:-1]
+        new = group.copy()
+        new[1:] |= key[1:] != key[:-1]
+        head = lambda marks: np.maximum.accumulate(np.where(marks, here, 0))
+        rank[active] = old + head(new) - head(group)
+        alone = new & np.append(new[1:], True)
+        return active[~alone]
+
+    while len(active):
+        key = np.zeros(len(active), np.int64)
+        for k in range(per):
+            place = np.minimum(at[active] + k, len(padded) - 1)
+            key = (key << bits) | np.where(place < stop[active], padded[place], 0)
+        at[active] += per
+        active = split(active, key)
+        if tail is None:
+            active = active[at[active] < stop[active]]
+        elif not (at[active] < stop[active]).any():
+            split(active, tail[active])
+            break
+    return rank
+
+
+def _sort_names(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of numbers whose last is the one smallest, by the same steps for large alphabets.
+
+    With its type a letter tells whether an LMS place begins, so suffixes are in the order of their
+    letters up to and with the next LMS place and then of that place's rank.
+    """
     n = len(s)
-    if letters == n:
-        out = [0] * n
-        for i, c in enumerate(s):
-            out[c] = i
+    if int(s.max()) == n - 1:
+        out = np.empty(n, np.int64)
+        out[s] = np.arange(n)
         return out
-    smaller = [True] * n
-    for i in range(n - 2, -1, -1):
-        smaller[i] = s[i] < s[i + 1] or s[i] == s[i + 1] and smaller[i + 1]
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    heads, total = [0] * letters, 0
-    counts = [0] * letters
-    for c in s:
-        counts[c] += 1
-    for c in range(letters):
-        heads[c] = total
-        total += counts[c]
-
-    def induce(sorted_lms: list[int]) -> list[int]:
-        sa, tail = [-1] * n, [h + c for h, c in zip(heads, counts)]
-        for i in reversed(sorted_lms):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-        head = heads[:]
-        for i in range(n):
-            if (j := sa[i] - 1) >= 0 and not smaller[j]:
-                sa[head[s[j]]] = j
-                head[s[j]] += 1
-        tail = [h + c for h, c in zip(heads, counts)]
-        for i in range(n - 1, -1, -1):
-            if (j := sa[i] - 1) >= 0 and smaller[j]:
-                tail[s[j]] -= 1
-                sa[tail[s[j]]] = j
-        return sa
-
-    stop = {a: b for a, b in zip(lms, lms[1:])}
-    is_lms = set(lms)
-    order = [i for i in induce(lms) if i in is_lms]
-    name, last, k = {}, None, -1
-    for i in order:
-        part = s[i : stop[i] + 1] if i in stop else None
-        if part is None or part != last:
-            k += 1
-        name[i], last = k, part
-    if k + 1 < len(lms):
-        order = [lms[i] for i in _sort_names([name[i] for i in lms], k + 1)]
-    return induce(order)
+    smaller = _types(s)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    typed = 2 * s.astype(np.int64) + smaller
+    _, names = np.unique(_refine(typed, lms, np.append(lms[1:], n - 1) + 1), return_inverse=True)
+    place = np.empty(len(lms), np.int64)
+    place[_sort_names(names)] = np.arange(len(lms))
+    after = np.searchsorted(lms, np.arange(n), "right")
+    tail = np.append(place, -1)[after]
+    return np.argsort(_refine(typed, np.arange(n), np.append(lms, n - 1)[after] + 1, tail))
 
 
 def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
@@ -297,14 +304,14 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         order = sa[is_lms[sa]]
         names, n = _names(s, lms, order)
         if n < len(lms):
-            order = lms[np.array(_sort_names(names.tolist(), n))]
+            order = lms[_sort_names(names)]
     else:
         order = lms
     return _induce(s, smaller, order, letters)
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each place the letters, up to ``most``, that it shares with the suffix sorted before it."""
+def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """Permuted: for each place (that is asked for) the letters, up to ``most``, that it shares with the suffix sorted before it."""
     n = len(s)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
@@ -314,7 +321,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     for k in range(7):
         words |= (low[k : n + most + k] & np.uint64(511)) << np.uint64(9 * k)
     out = np.zeros(n, np.int64)
-    active = np.flatnonzero(before >= 0)
+    active = np.flatnonzero(before >= 0 if asked is None else asked & (before >= 0))
     for k in range(0, most, 7):
         x = words[active + k] ^ words[before[active] + k]
         differ = x != 0
@@ -335,11 +342,11 @@ def repeated_windows(parts: list[bytes], order: np.ndarray, width: int = WIDTH)
     s[starts[1:] - 1] = 1
     s[-2], s[-1] = 1, 0
     sa = suffix_array(s, 258)
-    lcp = common_prefixes(s, sa, width)
     part = np.repeat(np.arange(len(parts)), sizes + 1)
     part = np.append(part, part[-1])
     offset = np.arange(len(s)) - starts[part]
     valid = offset + width <= sizes[part]
+    lcp = common_prefixes(s, sa, width, valid)
     rank = np.flatnonzero(valid[sa])
     at = sa[rank]
     out = np.zeros(len(s), bool)
