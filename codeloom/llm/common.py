@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,10 +45,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files behind a stashed frame that nothing reads any more."""
+    """Delete the files behind a stashed frame that nothing reads any more; others stay."""
     spark = df.sparkSession
+    bare = lambda path: re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", path)  # noqa: E731  file:/x and file:///x are one
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark)[:6]):
+        if bare(path).startswith(bare(shared_dir(spark)) + "/"):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
