@@ -6,8 +6,8 @@ of the hashes of its character shingles: shingles of LONG characters that start
 at a word (or at any character beyond Latin), and for shorter lines shingles of
 SHORT characters from every place; lines of middling length have both. Bands of
 two minima meet in buckets. In a bucket every line is tried with the bucket's
-first line and with the one before it, so a bucket costs as much as it has lines,
-not pairs. What meets is verified by the exact Jaccard similarity of all
+first line, so a bucket costs as much as it has lines, not pairs; other bands bring
+other lines together. What meets is verified by the exact Jaccard similarity of all
 character shingles. A distributed union-find joins the links, and of each
 component only the first line (smallest key, then place) stays.
 
@@ -63,17 +63,18 @@ def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines that share a bucket: each with the first and with the one before."""
-    w = Window.partitionBy("bucket").orderBy("id")
-    met = buckets.select("id", F.first("id").over(w).alias("first"), F.lag("id").over(w).alias("last")).where("last is not null")
-    pairs = met.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("u"), F.col("id").alias("v"))
-    return pairs.where("u <> v").distinct()
+    """Pairs (u, v) of a line and the first line of a bucket that it is in."""
+    met = buckets.select(F.min("id").over(Window.partitionBy("bucket")).alias("u"), F.col("id").alias("v"))
+    return met.where("u <> v").distinct()
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays without repeats."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def alike(a: Column, b: Column, least: float) -> Column:
+    """Whether two arrays without repeats have a Jaccard similarity of ``least`` or more.
+
+    The arrays are made into one value first, so each is computed once.
+    """
+    both = lambda p: F.size(F.array_intersect(p["a"], p["b"])) * (1 + least) >= least * (F.size(p["a"]) + F.size(p["b"]))
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both)[0]
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -94,7 +95,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     def parts(c: str) -> Column:
         return F.when(F.length(c) < EXACT, F.array(c)).otherwise(F.array_distinct(_shingles(F.col(c), EXACT)))
 
-    return pairs.where(similarity(parts("a"), parts("b")) >= least).select("u", "v")
+    return pairs.where(alike(parts("a"), parts("b"), least)).select("u", "v")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
