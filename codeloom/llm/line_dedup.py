@@ -119,7 +119,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     rows = docs.join(gone, docs[key].eqNullSafe(gone["key"]), "left").drop(gone["key"])
     parts = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    # lines and places are made into one value first, so that the text is split once
+    both = F.array(F.struct(parts.alias("lines"), kept.alias("kept")))
+    left = F.transform(both, lambda d: F.array_join(F.transform(d["kept"], lambda i: F.get(d["lines"], i)), "\n"))[0]
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     rows = rows.withColumns({"__new": new, "__lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)), "__removed": F.coalesce(F.size("__gone"), F.lit(0))})
     out = [F.col("__new").alias(text) if c == text else F.when(F.col("__gone").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(*out, "__lines", "__removed")
