@@ -28,14 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cache import Cache
 from .common import new_path, stash
 
 #: Fixed values of the zstandard seekable layout: a skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _ENTRY = struct.Struct("<qBIIQ")  # key, key is null, compressed size, plain size, checksum
 _FOOTER = struct.Struct("<QI")  # entries, magic number
-#: Words of the word cache that each Python worker keeps.
-CACHE_ENTRIES = 500_000
+#: Words of each of the two generations of a Python worker's cache.
+CACHE_ENTRIES = 600_000
 
 
 class FrameWriter:
@@ -125,19 +126,17 @@ class WordEncoder:
 
         self.model = Tokenizer.from_str(self.json)
         self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        self.word: dict[bytes, bytes] = {}
+        self.cache = Cache(self.cache_entries)
 
     def encode(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
         if self.model is None:
             self._start()
-        word, tail, out = self.word, b"" if end is None else struct.pack("<I", end), []
+        tail, out = b"" if end is None else struct.pack("<I", end), []
         for at in range(0, len(texts), 256):
             parts = [t.split() for t in texts[at : at + 256]]
-            seen = set().union(*parts)
-            if new := list(seen.difference(word)):
-                if len(word) + len(new) > self.cache_entries:
-                    word.clear()
-                    new = list(seen)
+            new = self.cache.unknown(set().union(*parts))
+            word = self.cache.now
+            if new:
                 for k in range(0, len(new), 4096):
                     some = new[k : k + 4096]
                     for w, e in zip(some, self.many([w.decode() for w in some], add_special_tokens=False)):
