@@ -6,10 +6,12 @@ of the hashes of its character shingles: shingles of LONG characters that start
 at a word (or at any character beyond Latin), and for shorter lines shingles of
 SHORT characters from every place; lines of middling length have both. Bands of
 two minima meet in buckets. In a bucket every line is tried with the bucket's
-first line, so a bucket costs as much as it has lines, not pairs; other bands bring
-other lines together. What meets is verified by the exact Jaccard similarity of all
-character shingles. A distributed union-find joins the links, and of each
-component only the first line (smallest key, then place) stays.
+first line, so groups of copies cost as much as they have lines, not pairs. Where
+that leaves lines of several components in a bucket, these lines are joined among
+themselves without loss: similar lines share one of their rarest shingles. What
+meets is verified by the exact Jaccard similarity of all character shingles. A
+distributed union-find joins the links, and of each component only the first line
+(smallest key, then place) stays.
 
 Defined results: blank lines always stay; a null text stays null; documents keep
 their rows, with an empty text if all lines go; rows that repeat a key count as
@@ -31,6 +33,8 @@ from .components import components
 BANDS, LONG, SHORT, SHORT_BELOW, LONG_FROM, EXACT = 10, 12, 6, 60, 48, 5
 #: Candidate lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: Classes by which the shingles of unsettled lines are counted; their counts are sent to all tasks.
+CLASSES = 1 << 17
 
 
 def _permutations(n: int) -> list[int]:
@@ -62,10 +66,46 @@ def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
     return found.select("id", F.explode(buckets).alias("bucket"))
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
+def meetings(buckets: DataFrame) -> DataFrame:
+    """Columns bucket, id and first (the bucket's smallest id) of the lines that aren't alone in a bucket."""
+    w = Window.partitionBy("bucket")
+    met = buckets.select("bucket", "id", F.min("id").over(w).alias("first"), F.count("*").over(w).alias("n"))
+    return met.where("n > 1").select("bucket", "id", "first")
+
+
+def candidates(met: DataFrame) -> DataFrame:
     """Pairs (u, v) of a line and the first line of a bucket that it is in."""
-    met = buckets.select(F.min("id").over(Window.partitionBy("bucket")).alias("u"), F.col("id").alias("v"))
-    return met.where("u <> v").distinct()
+    return met.where("first <> id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+
+
+def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """Columns id and component of the lines that share a bucket with a line of another component, neither being its first."""
+    rest = met.where("first <> id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return rest.join(open_.select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+
+
+def rare_parts(sets: DataFrame, least: float) -> DataFrame:
+    """Columns part, id, component and n of the rarest shingles of each line (columns id, component, parts).
+
+    Any two lines with a Jaccard similarity of ``least`` or more share one of
+    them: under one order of all shingles, they share one among the first
+    n - ceil(least * n) + 1. The order is by the count of a shingle's class.
+    """
+    each = stash(sets.select("id", "component", F.size("parts").alias("n"), F.explode("parts").alias("part")).withColumn("class", F.pmod(F.hash("part"), F.lit(CLASSES))), "line-parts")
+    counts = each.groupBy("class").agg(F.count("*").alias("many"))
+    ordered = each.join(F.broadcast(counts), "class").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("many", "part"))).alias("o"))
+    # rounded down a little, so that no error of floating point shortens a prefix
+    most = F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1
+    return ordered.select("id", "component", "n", F.explode(F.slice("o", F.lit(1), most)["part"]).alias("part"))
+
+
+def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v) of lines of different components that share a rare shingle and whose sets' sizes allow ``least``."""
+    rare = stash(rare_parts(sets, least), "line-rare")
+    a, b = (rare.select("part", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n"))) for k in "ab")
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    return a.join(b, "part").where(near).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
 
 
 def alike(a: Column, b: Column, least: float) -> Column:
@@ -77,25 +117,39 @@ def alike(a: Column, b: Column, least: float) -> Column:
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both)[0]
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
-    """Verified links (u, v) between ids of different lines."""
-    lines = lines_of(docs, key, text)
-    pairs = stash(candidates(signatures(lines, bands)), "line-pairs")
-    wanted = stash(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "line-ids")
-    n = wanted.count()
-    few = F.broadcast(wanted) if n <= BROADCAST_LINES else wanted
-    texts = lines.select("id", "line").join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = stash(texts, "line-texts")
+def parts_of(line: str) -> Column:
+    """The different shingles of the exact test; a line that is shorter is one."""
+    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.array_distinct(_shingles(F.col(line), EXACT)))
+
+
+def texts_of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """Columns id and line of the different lines among ``ids``, stashed."""
+    wanted = stash(ids, "line-ids")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+    return stash(lines.select("id", "line").join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose lines have a Jaccard similarity of ``least`` or more."""
     left, right = texts.select(F.col("id").alias("u"), F.col("line").alias("a")), texts.select(F.col("id").alias("v"), F.col("line").alias("b"))
     pairs = pairs.join(left, "u").join(right, "v")
     # similar sets differ little in size; the sets are made only for pairs that pass
     shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     pairs = pairs.where(shorter >= F.lit(0.5) * longer)
+    return pairs.where(alike(parts_of("a"), parts_of("b"), least)).select("u", "v")
 
-    def parts(c: str) -> Column:
-        return F.when(F.length(c) < EXACT, F.array(c)).otherwise(F.array_distinct(_shingles(F.col(c), EXACT)))
 
-    return pairs.where(alike(parts("a"), parts("b"), least)).select("u", "v")
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
+    """Verified links (u, v) between ids of different lines."""
+    lines = lines_of(docs, key, text)
+    met = stash(meetings(signatures(lines, bands)), "line-buckets")
+    texts = texts_of_ids(lines, met.select("id").distinct())
+    links = stash(verified(candidates(met), texts, least), "line-links")
+    rest = stash(unsettled(met, components(links)), "line-rest")
+    if rest.isEmpty():
+        return links
+    sets = texts.join(rest, "id").select("id", "component", parts_of("line").alias("parts"))
+    return links.unionByName(verified(rest_candidates(sets, least), texts, least))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:

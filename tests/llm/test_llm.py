@@ -219,6 +219,30 @@ def test_line_dedup_recall(spark):
     assert joined >= 0.98 * len(want) > 50 and not wrong
 
 
+def joined_pairs(spark, lines):
+    """Of the pairs of lines with a similarity of 0.8 or more: how many are in one component, and how many there are."""
+    lines = list(dict.fromkeys(lines))
+    links = line_dedup.similar_lines(corpus(spark, ["\n".join(lines[i : i + 50]) for i in range(0, len(lines), 50)]))
+    named = dict(components.components(links).collect())
+    hashes = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(F.xxhash64("t")).collect()]
+    at = [named.get(h, h) for h in hashes]
+    sets = [near_lines(x) for x in lines]
+    want = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return sum(at[i] == at[j] for i, j in want), len(want)
+
+
+def test_line_dedup_template(spark):
+    """Lines of one template share buckets without being alike; near copies among them are all found."""
+    rng = random.Random(11)
+    code = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(600):
+        line = f"all rights to the work named {code(9)} are held by the owner {code(6)} and by no other person or firm in any place"
+        lines += [line, line[:-5] + "place."] if rng.random() < 0.5 else [line, line.replace("person", "parson")]
+    joined, n = joined_pairs(spark, lines)
+    assert joined == n >= 600
+
+
 def test_line_dedup(spark):
     a, b = "the same line stands in many documents of this small corpus", "another line that nobody else has at all in here"
     docs = corpus(spark, [f"{a}\n{b}", f"x\n\n{a}", f"{a.replace('many', 'meny')}\n\nend", a])
