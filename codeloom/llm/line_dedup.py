@@ -2,9 +2,9 @@
 
 Lines (split at line feeds, trimmed) are known by their 64-bit hash, so equal
 lines are one. The signature of a line is the minimum, under many permutations,
-of the hashes of its character shingles: shingles of LONG characters that start
-at a word (or at any character beyond Latin), and for shorter lines shingles of
-SHORT characters from every place; lines of middling length have both. Bands of
+of the hashes of its character shingles from every place: shingles of LONG
+characters, and for shorter lines of SHORT ones; lines of middling length have
+both. Bands of
 two minima meet in buckets. In a bucket every line is tried with the bucket's
 first line, so groups of copies cost as much as they have lines, not pairs. Where
 that leaves lines of several components in a bucket, these lines are joined among
@@ -56,9 +56,8 @@ def _shingles(line: Column, size: int) -> Column:
 def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
     """Columns id and bucket: a row for each band of each different line."""
     n = F.length("line")
-    long_ = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(f"(?s)(?=([\\s\\u0250-\\x{{10FFFF}}].{{{LONG - 1}}}))"), F.lit(1))
-    none = F.array().cast("array<string>")
-    kinds = F.array(F.when(n >= LONG_FROM, long_).otherwise(none), F.when(n < SHORT_BELOW, _shingles(F.concat(F.lit(" "), "line"), SHORT)).otherwise(none))
+    none, line = F.array().cast("array<string>"), F.concat(F.lit(" "), "line")
+    kinds = F.array(F.when(n >= LONG_FROM, _shingles(line, LONG)).otherwise(none), F.when(n < SHORT_BELOW, _shingles(line, SHORT)).otherwise(none))
     parts = lines.select("id", F.posexplode(kinds).alias("kind", "parts")).select("id", "kind", F.explode("parts").alias("part")).select("id", "kind", F.hash("part").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(2 * bands))]
     found = parts.groupBy("id", "kind").agg(*minima)

@@ -243,6 +243,16 @@ def test_line_dedup_template(spark):
     assert joined == n >= 600
 
 
+def test_line_dedup_no_spaces(spark):
+    """Long lines without white space are known by all their characters, not by the first ones."""
+    rng = random.Random(12)
+    code = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    urls = ["https://www.example.org/" + code(70) for _ in range(60)]
+    other = [code(90) for _ in range(60)]
+    joined, n = joined_pairs(spark, urls + [x[:-6] + "-" + x[-6:] for x in urls] + other + ["#" + x[1:] for x in other])
+    assert joined >= 0.98 * n and n >= 120
+
+
 def test_line_dedup(spark):
     a, b = "the same line stands in many documents of this small corpus", "another line that nobody else has at all in here"
     docs = corpus(spark, [f"{a}\n{b}", f"x\n\n{a}", f"{a.replace('many', 'meny')}\n\nend", a])
