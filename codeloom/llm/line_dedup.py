@@ -3,8 +3,8 @@
 Lines (split at line feeds, trimmed) are known by their 64-bit hash, so equal
 lines are one. The signature of a line is the minimum, under many permutations,
 of the hashes of its character shingles from every place: shingles of LONG
-characters, and for shorter lines of SHORT ones; lines of middling length have
-both. Bands of
+characters, and for shorter lines of SHORT ones; lines of middling length, and
+longer ones that only repeat few shingles, have both. Bands of
 two minima meet in buckets. In a bucket every line is tried with the bucket's
 first line, so groups of copies cost as much as they have lines, not pairs. Where
 that leaves lines of several components in a bucket, these lines are joined among
@@ -57,7 +57,10 @@ def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
     """Columns id and bucket: a row for each band of each different line."""
     n = F.length("line")
     none, line = F.array().cast("array<string>"), F.concat(F.lit(" "), "line")
-    kinds = F.array(F.when(n >= LONG_FROM, _shingles(line, LONG)).otherwise(none), F.when(n < SHORT_BELOW, _shingles(line, SHORT)).otherwise(none))
+    # a long line that repeats itself may be alike to a short one; most lines tell by their start that they aren't such
+    few = lambda text: F.size(F.array_distinct(_shingles(text, EXACT))) < SHORT_BELOW - EXACT + 1
+    short = F.when(n < SHORT_BELOW, True).when(~few(F.substring("line", 1, 2 * SHORT_BELOW)), False).otherwise(few(F.col("line")))
+    kinds = F.array(F.when(n >= LONG_FROM, _shingles(line, LONG)).otherwise(none), F.when(short, _shingles(line, SHORT)).otherwise(none))
     parts = lines.select("id", F.posexplode(kinds).alias("kind", "parts")).select("id", "kind", F.explode("parts").alias("part")).select("id", "kind", F.hash("part").alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(2 * bands))]
     found = parts.groupBy("id", "kind").agg(*minima)
@@ -112,7 +115,11 @@ def alike(a: Column, b: Column, least: float) -> Column:
 
     The arrays are made into one value first, so each is computed once.
     """
-    both = lambda p: F.size(F.array_intersect(p["a"], p["b"])) * (1 + least) >= least * (F.size(p["a"]) + F.size(p["b"]))
+    def both(p: Column) -> Column:
+        n, m = F.size(p["a"]), F.size(p["b"])
+        # the intersection is at most the smaller set
+        return F.when(F.least(n, m) < least * F.greatest(n, m), False).otherwise(F.size(F.array_intersect(p["a"], p["b"])) * (1 + least) >= least * (n + m))
+
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both)[0]
 
 
@@ -132,9 +139,6 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose lines have a Jaccard similarity of ``least`` or more."""
     left, right = texts.select(F.col("id").alias("u"), F.col("line").alias("a")), texts.select(F.col("id").alias("v"), F.col("line").alias("b"))
     pairs = pairs.join(left, "u").join(right, "v")
-    # similar sets differ little in size; the sets are made only for pairs that pass
-    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.where(shorter >= F.lit(0.5) * longer)
     return pairs.where(alike(parts_of("a"), parts_of("b"), least)).select("u", "v")
 
 

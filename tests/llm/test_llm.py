@@ -253,6 +253,12 @@ def test_line_dedup_no_spaces(spark):
     assert joined >= 0.98 * n and n >= 120
 
 
+def test_line_dedup_rules(spark):
+    """Lines that repeat a pattern are alike whatever their lengths."""
+    joined, n = joined_pairs(spark, ["-" * k for k in (20, 50, 90, 400)] + ["ha " * k + "ha" for k in (5, 20, 80)] + ["=-" * k for k in (10, 70)])
+    assert joined == n == 10
+
+
 def test_line_dedup(spark):
     a, b = "the same line stands in many documents of this small corpus", "another line that nobody else has at all in here"
     docs = corpus(spark, [f"{a}\n{b}", f"x\n\n{a}", f"{a.replace('many', 'meny')}\n\nend", a])
