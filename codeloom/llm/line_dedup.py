@@ -88,7 +88,7 @@ def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def rare_parts(sets: DataFrame, least: float) -> DataFrame:
-    """Columns part, id, component and n of the rarest shingles of each line (columns id, component, parts).
+    """Columns part, id, component, n and after (how many aren't given) of the rarest shingles of each line (columns id, component, parts).
 
     Any two lines with a Jaccard similarity of ``least`` or more share one of
     them: under one order of all shingles, they share one among the first
@@ -99,15 +99,21 @@ def rare_parts(sets: DataFrame, least: float) -> DataFrame:
     ordered = each.join(F.broadcast(counts), "class").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("many", "part"))).alias("o"))
     # rounded down a little, so that no error of floating point shortens a prefix
     most = F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1
-    return ordered.select("id", "component", "n", F.explode(F.slice("o", F.lit(1), most)["part"]).alias("part"))
+    return ordered.select("id", "component", "n", (F.col("n") - most).alias("after"), F.explode(F.slice("o", F.lit(1), most)["part"]).alias("part"))
 
 
 def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
-    """All pairs (u, v) of lines of different components that share a rare shingle and whose sets' sizes allow ``least``."""
+    """All pairs (u, v) of lines of different components that share so many rare shingles that they may be alike.
+
+    Of the line whose rare shingles end first in the order, all others that it
+    shares are among those after: so many can be missing, of either line.
+    """
     rare = stash(rare_parts(sets, least), "line-rare")
-    a, b = (rare.select("part", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n"))) for k in "ab")
+    a, b = (rare.select("part", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "after"))) for k in "ab")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    return a.join(b, "part").where(near).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
+    asked = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-6) - F.greatest("after_a", "after_b")
+    shared = a.join(b, "part").where(near).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), asked.alias("asked"))
+    return shared.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select("u", "v")
 
 
 def alike(a: Column, b: Column, least: float) -> Column:
