@@ -2,16 +2,18 @@
 
 Lines (split at line feeds, trimmed) are known by their 64-bit hash, so equal
 lines are one. The signature of a line is the minimum, under many permutations,
-of the hashes of its character shingles from every place: shingles of LONG
-characters, and for shorter lines of SHORT ones; lines of middling length, and
-longer ones that only repeat few shingles, have both. Bands of
-two minima meet in buckets. In a bucket every line is tried with the bucket's
-first line, so groups of copies cost as much as they have lines, not pairs. Where
-that leaves lines of several components in a bucket, these lines are joined among
-themselves without loss: similar lines share one of their rarest shingles. What
-meets is verified by the exact Jaccard similarity of all character shingles. A
-distributed union-find joins the links, and of each component only the first line
-(smallest key, then place) stays.
+of the hashes of its character shingles. Shingles of LONG characters are taken
+from the places that follow a MARK, a character of a fixed class that stands all
+over a text whatever its language; lines with fewer than FEW different ones (short
+ones, ones that repeat a pattern) have a second signature of their SHORT shingles
+from every place. Bands of some minima meet in buckets, where pairs go on if enough
+of all their minima agree: every line is tried with the bucket's first, so that
+groups of copies cost as much as they have lines, not pairs. Where that leaves lines
+of several components in a bucket, all its pairs of different components are tried;
+buckets of more than ALL lines are instead joined without loss: similar lines share
+one of their rarest shingles. What meets is verified by the exact Jaccard similarity
+of all character shingles. A distributed union-find joins the links, and of each
+component only the first line (smallest key, then place) stays.
 
 Defined results: blank lines always stay; a null text stays null; documents keep
 their rows, with an empty text if all lines go; rows that repeat a key count as
@@ -23,14 +25,20 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 from .components import components
 
-#: Bands of two minima; shingle lengths; lengths of line below or from which each kind is used; shingle of the exact test.
-BANDS, LONG, SHORT, SHORT_BELOW, LONG_FROM, EXACT = 10, 12, 6, 60, 48, 5
+#: Minima of a signature; minima of a band, for long and short shingles; a sketch has two bits of SKETCH minima, of which so many must agree.
+MINIMA, BAND, SKETCH, AGREE = 36, (3, 4), 32, (18, 23)
+#: Shingle lengths: of the two signatures and of the exact test; fewer long shingles than FEW call for the short ones.
+LONG, SHORT, EXACT, FEW = 7, 5, 5, 9
+#: Characters after which a long shingle is taken: some letters and digits, and all beyond Latin.
+MARK = "[bfjrvzBFJVZ26[^\\x00-\\u024f]]"
+#: Lines of a bucket up to which all its unsettled pairs are tried.
+ALL = 64
 #: Candidate lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 #: Classes by which the shingles of unsettled lines are counted; their counts are sent to all tasks.
@@ -44,47 +52,76 @@ def _permutations(n: int) -> list[int]:
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row a line that isn't blank: key, place, line (trimmed), id (its hash)."""
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
+    # "outer", here and below: else the optimizer puts a filter below that computes the array once more
+    rows = docs.select(F.col(key).alias("key"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("place", "line"))
     rows = rows.select("key", "place", F.trim(F.col("line")).alias("line")).where("line <> ''")
     return rows.withColumn("id", F.xxhash64("line"))
 
 
 def _shingles(line: Column, size: int) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
-def signatures(lines: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Columns id and bucket: a row for each band of each different line."""
-    n = F.length("line")
-    none, line = F.array().cast("array<string>"), F.concat(F.lit(" "), "line")
-    # a long line that repeats itself may be alike to a short one; most lines tell by their start that they aren't such
-    few = lambda text: F.size(F.array_distinct(_shingles(text, EXACT))) < SHORT_BELOW - EXACT + 1
-    short = F.when(n < SHORT_BELOW, True).when(~few(F.substring("line", 1, 2 * SHORT_BELOW)), False).otherwise(few(F.col("line")))
-    kinds = F.array(F.when(n >= LONG_FROM, _shingles(line, LONG)).otherwise(none), F.when(short, _shingles(line, SHORT)).otherwise(none))
-    parts = lines.select("id", F.posexplode(kinds).alias("kind", "parts")).select("id", "kind", F.explode("parts").alias("part")).select("id", "kind", F.hash("part").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(2 * bands))]
+    """64-bit hashes of the shingles from every place; a shorter line is one shingle.
+
+    Cut out of four bytes a character: a regular expression takes thrice as long.
+    """
+    cut = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - (4 * size - 1), F.lit(1)), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * size))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]
+
+
+def _marked(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s){MARK}(?=(.{{{LONG}}}))"), F.lit(1))
+
+
+def _few(line: Column) -> Column:
+    return F.size(F.array_distinct(_marked(line))) < FEW
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Columns id, kind, sketch and bucket: a row for each band of each signature of each different line."""
+    # the start of most long lines tells that they have enough marks
+    few = F.when(F.length("line") < 2 * LONG, True).when(~_few(F.substring("line", 1, 40 * LONG)), False).otherwise(_few(F.col("line")))
+    signed = lambda rows, kind, parts: rows.select("id", F.lit(kind).alias("kind"), F.explode_outer(parts).alias("part")).where("part is not null").select("id", "kind", F.hash("part").alias("h"))
+    parts = signed(lines, 0, _marked(F.col("line"))).unionByName(signed(lines.where(few), 1, _shingles(F.col("line"), SHORT)))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(MINIMA))]
     found = parts.groupBy("id", "kind").agg(*minima)
-    buckets = F.array(*(F.xxhash64(F.lit(b), "kind", f"m{2 * b}", f"m{2 * b + 1}") for b in range(bands)))
-    return found.select("id", F.explode(buckets).alias("bucket"))
+    sketch = F.lit(0).cast("long")
+    for k in range(SKETCH):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.hash(f"m{k}").bitwiseAND(F.lit(3)).cast("long"), 2 * k))
+    of = lambda kind, n: F.array(*(F.xxhash64(F.lit(kind), F.lit(k), *(f"m{j}" for j in range(k, k + n))) for k in range(0, MINIMA, n)))
+    return found.select("id", "kind", sketch.alias("sketch"), F.explode_outer(F.when(F.col("kind") == 0, of(0, BAND[0])).otherwise(of(1, BAND[1]))).alias("bucket"))
 
 
 def meetings(buckets: DataFrame) -> DataFrame:
-    """Columns bucket, id and first (the bucket's smallest id) of the lines that aren't alone in a bucket."""
-    w = Window.partitionBy("bucket")
-    met = buckets.select("bucket", "id", F.min("id").over(w).alias("first"), F.count("*").over(w).alias("n"))
-    return met.where("n > 1").select("bucket", "id", "first")
+    """Columns bucket, id, sketch, n (the bucket's lines) and first (its smallest id, with its sketch) of the lines that aren't alone in a bucket."""
+    # counted before the shuffle; the join splits what a hot bucket holds
+    counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "sketch")).alias("first")).where("n > 1")
+    return buckets.join(counted, "bucket")
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether enough of the two-bit values of two sketches agree."""
+    x = a.bitwiseXOR(b)
+    return SKETCH - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) >= F.when(F.col("kind") == 0, AGREE[0]).otherwise(AGREE[1])
 
 
 def candidates(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a line and the first line of a bucket that it is in."""
-    return met.where("first <> id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    """Pairs (u, v) of a line and the first line of a bucket that it is in, of near sketches."""
+    near = met.where((F.col("first.id") != F.col("id")) & _near(F.col("sketch"), F.col("first.sketch")))
+    return near.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct()
 
 
 def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """Columns id and component of the lines that share a bucket with a line of another component, neither being its first."""
-    rest = met.where("first <> id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    """Columns bucket, n, kind, id, sketch and component of the lines that share a bucket with a line of another component, neither being its first."""
+    rest = met.where((F.col("n") > 2) & (F.col("first.id") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "kind", "id", "sketch", F.coalesce("component", "id").alias("component"))
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    return rest.join(open_.select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+    return rest.join(open_.select("bucket"), "bucket", "left_semi")
+
+
+def small_candidates(rest: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines of different components that share a small bucket, of near sketches."""
+    small = rest.where(F.col("n") <= ALL)
+    a, b = (small.select("bucket", *["kind"] * (i == "u"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "sketch", "component"))) for i in "uv")
+    near = (F.col("id_u") < F.col("id_v")) & (F.col("component_u") != F.col("component_v")) & _near(F.col("sketch_u"), F.col("sketch_v"))
+    return a.join(b, "bucket").where(near).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
 def rare_parts(sets: DataFrame, least: float) -> DataFrame:
@@ -94,12 +131,12 @@ def rare_parts(sets: DataFrame, least: float) -> DataFrame:
     them: under one order of all shingles, they share one among the first
     n - ceil(least * n) + 1. The order is by the count of a shingle's class.
     """
-    each = stash(sets.select("id", "component", F.size("parts").alias("n"), F.explode("parts").alias("part")).withColumn("class", F.pmod(F.hash("part"), F.lit(CLASSES))), "line-parts")
+    each = stash(sets.select("id", "component", F.size("parts").alias("n"), F.explode_outer("parts").alias("part")).withColumn("class", F.pmod(F.hash("part"), F.lit(CLASSES))), "line-parts")
     counts = each.groupBy("class").agg(F.count("*").alias("many"))
     ordered = each.join(F.broadcast(counts), "class").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("many", "part"))).alias("o"))
     # rounded down a little, so that no error of floating point shortens a prefix
     most = F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1
-    return ordered.select("id", "component", "n", (F.col("n") - most).alias("after"), F.explode(F.slice("o", F.lit(1), most)["part"]).alias("part"))
+    return ordered.select("id", "component", "n", (F.col("n") - most).alias("after"), F.explode_outer(F.slice("o", F.lit(1), most)["part"]).alias("part"))
 
 
 def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
@@ -130,8 +167,8 @@ def alike(a: Column, b: Column, least: float) -> Column:
 
 
 def parts_of(line: str) -> Column:
-    """The different shingles of the exact test; a line that is shorter is one."""
-    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.array_distinct(_shingles(F.col(line), EXACT)))
+    """The different shingles of the exact test."""
+    return F.array_distinct(_shingles(F.col(line), EXACT))
 
 
 def texts_of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,22 +185,24 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.where(alike(parts_of("a"), parts_of("b"), least)).select("u", "v")
 
 
-def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
+def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """Verified links (u, v) between ids of different lines."""
     lines = lines_of(docs, key, text)
-    met = stash(meetings(signatures(lines, bands)), "line-buckets")
+    met = stash(meetings(signatures(lines)), "line-buckets")
     texts = texts_of_ids(lines, met.select("id").distinct())
     links = stash(verified(candidates(met), texts, least), "line-links")
     rest = stash(unsettled(met, components(links)), "line-rest")
-    if rest.isEmpty():
-        return links
-    sets = texts.join(rest, "id").select("id", "component", parts_of("line").alias("parts"))
-    return links.unionByName(verified(rest_candidates(sets, least), texts, least))
+    pairs = small_candidates(rest)
+    hard = rest.where(F.col("n") > ALL).select("id", "component").distinct()
+    if not hard.isEmpty():
+        sets = texts.join(hard, "id").select("id", "component", parts_of("line").alias("parts"))
+        pairs = pairs.unionByName(rest_candidates(sets, least)).distinct()
+    return links.unionByName(verified(pairs, texts, least))
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """Columns key and place of each line that goes."""
-    joined = components(similar_lines(docs, key, text, least, bands))
+    joined = components(similar_lines(docs, key, text, least))
     seen = lines_of(docs, key, text).select("id", "key", "place")
     # null keys come last
     at = F.struct(F.col("key").isNull().alias("none"), "key", "place")
@@ -176,9 +215,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     return here.where(~same).select("key", "place")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without the lines that repeat or nearly repeat; adds ``__lines`` and ``__removed`` counts."""
-    gone = removed_lines(docs, key, text, least, bands).groupBy("key").agg(F.collect_set("place").alias("__gone"))
+    gone = removed_lines(docs, key, text, least).groupBy("key").agg(F.collect_set("place").alias("__gone"))
     rows = docs.join(gone, docs[key].eqNullSafe(gone["key"]), "left").drop(gone["key"])
     parts = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
