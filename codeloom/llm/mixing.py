@@ -2,16 +2,21 @@
 
 Each source's documents, in a keyed random order, form one stream of words that
 is cut into blocks. A target of e whole passes and a remainder takes all blocks
-e times and the remainder's quota of blocks once more. A binary tree over the
-output shards splits the quotas exactly: at each node a multivariate
-hypergeometric draw says how many blocks of each source go left. A shard then
-owns a range of each source's permuted block order, so blocks are disjoint, and
-its rows are shuffled by a keyed hash.
+e times and the remainder's quota of blocks once more; a pass or remainder is a
+draw. A binary tree over the output shards splits all draws' quotas exactly: at
+each node a multivariate hypergeometric draw says how many blocks of each go left.
+A shard then owns a range of each draw's permuted block order, so its blocks are
+disjoint from other shards', and its rows are shuffled by a keyed hash.
+
+Only one scan reads texts: key, source, size and a keyed mark of each row are
+written to the shared folder, and all planning is done on these light rows.
 
 Defined results: a null text has size 0; the null source is a source of its own,
 last in order, and differs from the empty one; a source of size 0 has target 0;
 documents of size 0 take nothing; repeated rows are mixed like any others; an
-empty table gives no rows. Everything is keyed by ``seed``, so reruns agree.
+empty table gives no rows; columns of the input that are called ``source_size`` or
+``target`` give way in ``mix``, all others stay. Everything is keyed by ``seed``,
+so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK
+from .common import WORD_BREAK, stash
 
-#: Words of a block, and rows that one bucket of the stream order should hold.
-BLOCK_WORDS, BUCKET_ROWS = 1024, 250
+#: Words of a block, rows that one bucket of the stream order should hold, words of a shard, least number of shards.
+BLOCK_WORDS, BUCKET_ROWS, SHARD_WORDS, SHARDS = 1024, 250, 1 << 27, 16
+#: Blocks of all draws together stay below this, the limit of the hypergeometric generator.
+MOST_BLOCKS = 10**9 - 1
 #: Weights, dealt to the sources by code point, null last, over and over.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -75,22 +82,20 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 def _draw(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     if not good or not sample:
         return 0
-    if not bad:
-        return min(good, sample)
-    if max(good, bad) < 10**9:  # the generator's own limit
-        return int(rng.hypergeometric(good, bad, sample))
-    mean, all_ = sample * good / (good + bad), good + bad
-    spread = math.sqrt(mean * (1 - good / all_) * (all_ - sample) / max(1, all_ - 1))
-    return int(min(max(round(rng.normal(mean, spread)), max(0, sample - bad)), good, sample))
+    return int(rng.hypergeometric(good, bad, sample)) if bad else min(good, sample)
 
 
 def plan(sizes: list[tuple[str | None, int]], share: float, limit: float, weights, shards: int, seed: int, block_words: int):
-    """One tuple a source: source, size, target, passes, block words, blocks, quota, multiplier, offset, first block rank of each shard."""
+    """One tuple a source: source, size, target, passes, block words, blocks, quota, multiplier, offset, and for each draw
+    (the passes, then the remainder) the first block rank after each shard's."""
     order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     wants = targets([n for _, n in order], [weights[i % len(weights)] for i in range(len(order))], share, limit)
-    rows = []
+    # so long that the blocks of all draws, and one more a draw for what is rounded up, stay below the limit
+    draws = (math.floor(limit) + 1) * len(order)
+    least = math.ceil(sum(n for _, n in order) * (limit + 1) / max(1, MOST_BLOCKS - draws))
+    rows, quotas = [], []
     for i, ((source, size), want) in enumerate(zip(order, wants)):
-        words = max(1, min(block_words, size // 1000), size >> 30)
+        words = max(1, min(block_words, size // 1000), least)
         blocks, passes = -(-size // words), min(int(want // size), int(limit)) if size else 0
         quota = min(blocks, max(0, round((want - passes * size) / words))) if size else 0
         rng = np.random.default_rng([seed, i])
@@ -98,66 +103,89 @@ def plan(sizes: list[tuple[str | None, int]], share: float, limit: float, weight
         while math.gcd(step, max(1, blocks)) != 1:
             step += 1
         rows.append([source, size, float(want), passes, words, blocks, quota, step, int(rng.integers(0, max(1, blocks)))])
-    tree = split_tree([r[6] for r in rows], shards, seed)
-    for i, r in enumerate(rows):
-        r.append([int(x) for x in np.cumsum(tree[:, i])])
+        quotas.append([blocks] * passes + [quota])
+    tree = np.cumsum(split_tree([q for own in quotas for q in own], shards, seed), axis=0)
+    at = 0
+    for row, own in zip(rows, quotas):
+        row.append([[int(x) for x in tree[:, at + k]] for k in range(len(own))])
+        at += len(own)
     return [tuple(r) for r in rows]
 
 
-_PLAN = "source string, source_size long, target double, passes int, words long, blocks long, quota long, step long, first long, ends array<long>"
+_PLAN = "of string, source_size long, target double, passes int, words long, blocks long, quota long, step long, first long, ends array<array<long>>"
+_PLANNED = "size long, source_size long, target double, taken long, shards array<int>"
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 20) -> DataFrame:
-    """Adds the size of each row and the keyed hash that orders it."""
-    return docs.withColumn("__size", word_count(F.col(text))).withColumn("__mark", F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)))
+def _light(docs: DataFrame, key: str, text: str, source: str, seed: int) -> dict[str, Column]:
+    """What tells a row: its key, source and a keyed mark of key and text."""
+    return {"key": F.col(key), "source": F.col(source), "mark": F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))}
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, weights=WEIGHTS, shards: int = 16, seed: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row with size, source_size, target, passes and the blocks that it takes.
+def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, limit: float = 2.0, weights=WEIGHTS, shards: int | None = None, seed: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix of each row, without texts: key, source, mark, size, source_size, target, taken and shards.
 
-    Adds ``__taken`` (words, repeats counted), ``__copies`` (times the whole row is
-    in the mix, its middle word deciding), ``__shard`` and ``__place`` of the extra copy.
-    The sources (one small row each, not documents) are planned on the driver.
+    ``taken`` counts the words that the mix takes, repeats included; ``shards`` has the
+    shard of each copy of the whole row (its middle word decides whether the remainder
+    holds it). The sources (one small row each, not documents) are planned on the driver.
     """
     spark = docs.sparkSession
-    sized = docs if "__mark" in docs.columns else measured(docs, key, text, seed)
-    light = sized.select(F.col(source).alias("__source"), F.col(key).alias("__key"), "__size", "__mark")
-    # buckets of the keyed order; as many as the rows need, the same for every source
-    per_source = light.groupBy("__source").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")).collect()
+    rows = stash(docs.select(*(c.alias(n) for n, c in _light(docs, key, text, source, seed).items()), word_count(F.col(text)).alias("size")), "mix-rows")
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     if not per_source:
-        return docs.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("__size", "long"), ("source_size", "long"), ("target", "double"), ("__taken", "long"), ("__copies", "int"), ("__shard", "int"), ("__place", "long"))))
-    made = plan([(r[0], r.n or 0) for r in per_source], share, limit, weights, shards, seed, block_words)
-    planned = spark.createDataFrame(made, _PLAN)
-    n_buckets = 1 << max(0, math.ceil(math.log2(max(1, max(r.rows for r in per_source) / BUCKET_ROWS))))
-    bucket = F.shiftrightunsigned("__mark", 64 - int(math.log2(n_buckets))) if n_buckets > 1 else F.lit(0).cast("long")
-    light = light.withColumn("__bucket", bucket)
-    totals = light.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
+        return rows.select("key", "source", "mark", *(F.lit(None).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in _PLANNED.split(", ")))
+    shards = shards or max(SHARDS, math.ceil(share * sum(r.n or 0 for r in per_source) / SHARD_WORDS))
+    made = plan([(r["source"], r.n or 0) for r in per_source], share, limit, weights, shards, seed, block_words)
+    sources = spark.createDataFrame(made, _PLAN)
+    # buckets of the keyed order; as many as the rows need, the same for every source
+    bits = max(0, math.ceil(math.log2(max(1, max(r.rows for r in per_source) / BUCKET_ROWS))))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("mark", 64 - bits) if bits else F.lit(0).cast("long"))
+    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     # one row a source and bucket: about one in BUCKET_ROWS of the documents
-    before = totals.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("n")).alias("__base"))
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__mark", "__key")
-    rows = sized.withColumn("__bucket", bucket).withColumn("__source", F.col(source)).withColumn("__key", F.col(key))
-    rows = rows.withColumn("__run", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
-    same = rows["__source"].eqNullSafe(before["__source"]) & (rows["__bucket"] == before["__bucket"])
-    rows = rows.join(before, same).drop(before["__source"]).drop(before["__bucket"])
-    planned = planned.withColumnRenamed("source", "__of")
-    rows = rows.join(F.broadcast(planned) if len(made) <= 10_000 else planned, F.col("__source").eqNullSafe(F.col("__of")))
-    start = F.col("__base") + F.col("__run")
-    lo, hi = F.floor(start / F.col("words")), F.floor((start + F.greatest("__size", F.lit(1)) - 1) / F.col("words"))
-    rank = lambda b: (b * F.col("step") + F.col("first")) % F.col("blocks")
-    drawn = lambda b: F.when(rank(b) < F.col("quota"), F.least(start + F.col("__size"), (b + 1) * F.col("words")) - F.greatest(start, b * F.col("words"))).otherwise(F.lit(0).cast("long"))
-    extra = F.when((F.col("quota") == 0) | (F.col("__size") == 0), F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda a, b: a + drawn(b)))
-    middle = rank(F.floor((start + F.floor(F.col("__size") / 2)) / F.col("words")))
-    has = (F.col("quota") > 0) & (F.col("__size") > 0) & (middle < F.col("quota"))
-    rows = rows.withColumn("__taken", F.col("passes") * F.col("__size") + extra)
-    rows = rows.withColumn("__copies", F.when(F.col("__size") == 0, 0).otherwise(F.col("passes") + has.cast("int")))
-    rows = rows.withColumn("__shard", F.when(has, F.size(F.filter("ends", lambda e: e <= middle))))
-    rows = rows.withColumn("__place", F.when(has, F.xxhash64(F.lit(seed + 1), F.col("__mark"))))
-    return rows.select(*(c for c in docs.columns if c not in ("__size", "__mark")), "__size", "source_size", "target", "__taken", "__copies", "__shard", "__place")
-
-
-def draw(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole rows with the columns of ``docs``: each as often as it is drawn, locally shuffled."""
-    seed = options.get("seed", 20)
-    rows = mix(docs, **options).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    order = F.xxhash64(F.lit(seed), "__copy", "__place", F.col(options.get("key", "doc_id")).cast("string"))
-    return rows.withColumn("__order", order).sortWithinPartitions("__order").select(*docs.columns)
+    before = totals.select(F.col("source").alias("source_b"), F.col("bucket").alias("bucket_b"), (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("base"))
+    inside = Window.partitionBy("source", "bucket").orderBy("mark", "key")
+    rows = rows.withColumn("run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    rows = rows.join(before, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
+    rows = rows.join(F.broadcast(sources) if len(made) <= 10_000 else sources, F.col("source").eqNullSafe(F.col("of")))
+    start = F.col("base") + F.col("run")
+    lo, hi = F.floor(start / F.col("words")), F.floor((start + F.greatest("size", F.lit(1)) - 1) / F.col("words"))
+    rank = lambda b, draw: (b * F.col("step") + F.col("first") + draw) % F.col("blocks")
+    inside_block = lambda b: F.least(start + F.col("size"), (b + 1) * F.col("words")) - F.greatest(start, b * F.col("words"))
+    # a block is in the remainder if a shard owns its rank there
+    owned = F.element_at(F.element_at("ends", -1), -1)
+    drawn = lambda b: F.when(rank(b, F.col("passes")) < owned, inside_block(b)).otherwise(F.lit(0).cast("long"))
+    extra = F.when((owned == 0) | (F.col("size") == 0), F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda a, b: a + drawn(b)))
+    middle = F.floor((start + F.floor(F.col("size") / 2)) / F.col("words"))
+    shard = lambda ends, draw: F.size(F.filter(ends, lambda e: e <= rank(middle, draw)))
+    every = F.transform("ends", shard)
+    shards_of = F.when(F.col("size") == 0, F.array().cast("array<int>")).otherwise(F.filter(every, lambda k: k < shards))
+    return rows.select("key", "source", "mark", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"), shards_of.alias("shards"))
+
+
+def _with_rows(docs: DataFrame, mixed: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """The rows of ``docs`` with their mix, in columns ``__mix_*``; repeated rows are told apart by number."""
+    mixed = mixed.select(*(F.col(c).alias(f"__mix_{c}") for c in mixed.columns))
+    whole = docs.withColumns({f"__row_{n}": c for n, c in _light(docs, key, text, source, seed).items()})
+    told = ["key", "source", "mark"]
+    if not mixed.groupBy(*(f"__mix_{c}" for c in told)).count().where("count > 1").isEmpty():
+        number = lambda p, last: F.row_number().over(Window.partitionBy(*(f"__{p}_{c}" for c in told)).orderBy(last))
+        mixed, whole = mixed.withColumn("__mix_no", number("mix", "__mix_taken")), whole.withColumn("__row_no", number("row", "__row_mark"))
+        told = [*told, "no"]
+    same = F.lit(True)
+    for c in told:
+        same = same & F.col(f"__row_{c}").eqNullSafe(F.col(f"__mix_{c}"))
+    return whole.join(mixed, same)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, **options) -> DataFrame:
+    """Every row with its size, source_size, target, words taken and the shards of its copies; see ``planned``."""
+    rows = _with_rows(docs, planned(docs, key, text, source, seed=seed, **options), key, text, source, seed)
+    own = [c for c in docs.columns if c not in ("source_size", "target")]
+    return rows.select(*own, F.col("__mix_size").alias("__size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("__taken"), F.col("__mix_shards").alias("__shards"))
+
+
+def draw(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 20, **options) -> DataFrame:
+    """The mix as whole rows with the columns of ``docs``, each as often as it is drawn: dealt to its shards, shuffled in each."""
+    mixed = planned(docs, key, text, source, seed=seed, **options).where(F.size("shards") > 0)
+    rows = _with_rows(docs, mixed, key, text, source, seed).select(*docs.columns, "__mix_mark", F.posexplode("__mix_shards").alias("__mix_copy", "__mix_shard"))
+    rows = rows.withColumn("__mix_order", F.xxhash64(F.lit(seed + 1), "__mix_mark", "__mix_copy"))
+    return rows.repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_order").select(*docs.columns)
