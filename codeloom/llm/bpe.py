@@ -16,14 +16,18 @@ import heapq
 import struct
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import map_rows
+from .cache import Cache
 
-#: Entries of the pre-token cache that each Python worker keeps.
-CACHE_ENTRIES = 500_000
+#: Entries of each generation of the two caches that a Python worker keeps, and the longest word that is kept, in characters.
+CACHE_ENTRIES, CACHED_LENGTH = 100_000, 64
+#: Bytes of ids that are returned at once.
+SLICE_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,8 +135,8 @@ class ByteBPE:
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
         self.spaced = regex.compile(r"\s").search
-        self.packed: dict[str, bytes] = {}
-        self.word: dict[str, bytes | None] = {}
+        self.packed: Cache = Cache(self.cache_entries)
+        self.word: Cache = Cache(self.cache_entries)
         self.ids = np.array([self.ranks[k] for k in self.keys], np.int64)
         self.token = {i: k for k, i in self.ranks.items()}
 
@@ -143,53 +147,51 @@ class ByteBPE:
         self.__dict__.update(state)
         self._ready()
 
-    def _learn(self, new: list[str]) -> None:
-        raw = [x.encode() for x in new]
-        for text, piece, k in zip(new, raw, self.hash.key_index(raw).tolist()):
-            if self.keys[k] == piece:
-                self.packed[text] = struct.pack("<I", self.ids[k])
-            else:
-                ids = merge(piece, self.ranks)
-                self.packed[text] = struct.pack(f"<{len(ids)}I", *ids)
+    def _learn(self, pieces) -> dict[str, bytes]:
+        """Packed ids of the different ``pieces`` (pre-tokens); long ones aren't kept."""
+        pieces = set(pieces)
+        short = {x for x in pieces if len(x) <= CACHED_LENGTH}
+        new = self.packed.unknown(short)
+        known = self.packed.now
+        found = {}
+        for part in (new, [x for x in pieces if len(x) > CACHED_LENGTH]):
+            into = known if part is new else found
+            raw = [x.encode() for x in part]
+            for text, piece, k in zip(part, raw, self.hash.key_index(raw).tolist()):
+                if self.keys[k] == piece:
+                    into[text] = struct.pack("<I", self.ids[k])
+                else:
+                    ids = merge(piece, self.ranks)
+                    into[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return known if not found else {x: known[x] for x in short} | found
 
     def _pieces(self, parts: list[str]) -> bytes:
-        packed = self.packed
-        if new := [x for x in dict.fromkeys(parts) if x not in packed]:
-            if len(packed) + len(new) > self.cache_entries:
-                packed.clear()
-                new = list(dict.fromkeys(parts))
-            self._learn(new)
-        return b"".join(map(packed.__getitem__, parts))
-
-    def _learn_words(self, new: list[str]) -> None:
+        return b"".join(map(self._learn(parts).__getitem__, parts))
+
+    def _learn_words(self, new: list[str]) -> dict[str, bytes | None]:
         """Words after one space, or after one line feed that the word then starts with.
 
         Such a word's pre-tokens don't depend on what stands around it, unless
-        it is empty or holds white space: then the whole text is split at once.
+        it is empty or holds white space: then it is None, and the whole text is split at once.
         """
         good = [w for w in new if (body := w[1:] if w[:1] == "\n" else w) and not self.spaced(body)]
         split = [self.find(w if w[0] == "\n" else " " + w) for w in good]
-        if unseen := [x for x in dict.fromkeys(x for parts in split for x in parts) if x not in self.packed]:
-            if len(self.packed) + len(unseen) > self.cache_entries:
-                self.packed.clear()
-                unseen = list(dict.fromkeys(x for parts in split for x in parts))
-            self._learn(unseen)
-        packed = self.packed
-        self.word.update(dict.fromkeys(new))
-        for w, parts in zip(good, split):
-            self.word[w] = b"".join([packed[x] for x in parts])
+        packed = self._learn(x for parts in split for x in parts)
+        return dict.fromkeys(new) | {w: b"".join([packed[x] for x in parts]) for w, parts in zip(good, split)}
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         first, *rest = text.replace("\n", " \n").split(" ")
         if not first or self.spaced(first):
             return self._pieces(self.find(text))
-        word = self.word
-        if new := set(rest).difference(word):
-            if len(word) + len(new) > self.cache_entries:
-                word.clear()
-                new = set(rest)
-            self._learn_words(list(new))
+        different = set(rest)
+        long = [w for w in different if len(w) > CACHED_LENGTH]
+        new = self.word.unknown(different.difference(long) if long else different)
+        word = self.word.now
+        if new:
+            word.update(self._learn_words(new))
+        if long:
+            word = {w: word[w] for w in different.difference(long)} | self._learn_words(long)
         try:
             return self._pieces(self.find(first)) + b"".join(map(word.__getitem__, rest))
         except TypeError:  # None stands for a word that can't be taken alone
@@ -206,30 +208,37 @@ class ByteBPE:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per row: key, ids (array), n_tokens, ids_sha256, decoded_sha256. No shuffle.
+    """Per row: key, n_tokens, ids_sha256, decoded_sha256, ids (array). No shuffle.
 
     ``ranks_path`` is read by the driver; the model of a few MB is broadcast.
+    Rows are returned as soon as their ids fill SLICE_BYTES.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(ByteBPE(load_ranks(ranks_path), pattern))
-    key_type = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if with_ids else "")
+    schema = StructType([StructField(key, docs.schema[key].dataType)])
+    for name, kind in (("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), ("ids", ArrayType(IntegerType())))[: 4 if with_ids else 3]:
+        schema = schema.add(name, kind)
 
-    def setup():
+    def run(batches):
         bpe = model.value
 
-        def one(batch):
-            out = {key: batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
-            for t in batch.column(1).to_pylist():
-                packed = bpe.encode_packed(t or "")
-                ids = np.frombuffer(packed, "<u4")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids.astype(np.int64))
-            return out
-
-        return one
-
-    return map_rows(docs.select(docs[key].alias(key), docs[text].alias("__text")), None, schema, setup)
+        def slice_(batch, at, packed, plain):
+            columns = [batch.column(0).slice(at, len(packed)), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array(plain)]
+            if with_ids:
+                ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches:
+            at, held, packed, plain = 0, 0, [], []
+            for t in batch.column(1):
+                packed.append(bpe.encode_packed(t.as_py() or ""))
+                plain.append(hashlib.sha256(bpe.decode_packed(packed[-1])).hexdigest())
+                held += len(packed[-1])
+                if held >= SLICE_BYTES:
+                    yield slice_(batch, at, packed, plain)
+                    at, held, packed, plain = at + len(packed), 0, [], []
+            if packed:
+                yield slice_(batch, at, packed, plain)
+
+    return docs.select(docs[key].alias(key), docs[text].alias("__text")).mapInArrow(run, schema)
