@@ -96,7 +96,7 @@ def plan(sizes: list[tuple[str | None, int]], share: float, limit: float, weight
     rows, quotas = [], []
     for i, ((source, size), want) in enumerate(zip(order, wants)):
         words = max(1, min(block_words, size // 1000), least)
-        blocks, passes = -(-size // words), min(int(want // size), int(limit)) if size else 0
+        blocks, passes = max(1, -(-size // words)), min(int(want // size), int(limit)) if size else 0
         quota = min(blocks, max(0, round((want - passes * size) / words))) if size else 0
         rng = np.random.default_rng([seed, i])
         step = int(rng.integers(1, max(2, blocks)))

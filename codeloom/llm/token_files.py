@@ -14,6 +14,7 @@ gives an empty manifest and no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,8 +37,8 @@ from .common import new_path, stash
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _ENTRY = struct.Struct("<qBIIQ")  # key, key is null, compressed size, plain size, checksum
 _FOOTER = struct.Struct("<QI")  # entries, magic number
-#: Words of each of the two generations of a Python worker's cache.
-CACHE_ENTRIES = 600_000
+#: Words of each of the two generations of a Python worker's cache, and words that are encoded as one text.
+CACHE_ENTRIES, JOIN = 600_000, 64
 
 
 class FrameWriter:
@@ -49,6 +51,8 @@ class FrameWriter:
         self.tokens = 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() > np.iinfo(self.dtype).max:
+            raise ValueError("ids don't fit into the file's width")
         plain = ids.astype(self.dtype).tobytes()
         frame = self.pack(plain)
         self.out.write(frame)
@@ -106,41 +110,71 @@ class FrameReader:
             k = j
 
 
+def _words_apart(model: dict) -> bool:
+    """Whether a tokenizer's first pre-tokenizer drops all white space, so that a text's ids are those of its words."""
+    step = model.get("pre_tokenizer") or {}
+    if step.get("type") == "Sequence":
+        step = (step.get("pretokenizers") or [{}])[0]
+    if step.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return True
+    pattern = (step.get("pattern") or {}).get("Regex")
+    if step.get("type") != "Split" or step.get("behavior") != "Removed" or not step.get("invert") or not pattern:
+        return False
+    probe = "".join(f"{a}{space}{b}" for a in "a1.'" for b in "a1.'" for space in (" ", "\n", "\t \r", "\x0b", "\x0c"))
+    return not any(c.isspace() for m in regex.finditer(pattern, probe) for c in m.group())
+
+
 class WordEncoder:
-    """A tokenizers model applied to whole texts, word by word, with a cache.
+    """A tokenizers model applied to whole texts: word by word with a cache, if no rule of it reaches across white space.
 
-    The model drops white space and no rule of it reaches across, so a text's
-    ids are those of its words (runs outside ASCII white space) in order.
+    Then a text's ids are those of its words (runs outside ASCII white space) in
+    order. New words are encoded many at once, as texts of JOIN words, and told
+    apart by the tokens' offsets. Other models get whole texts.
     """
 
     def __init__(self, path_or_json: str, cache_entries: int = CACHE_ENTRIES):
         self.json, self.cache_entries = path_or_json, cache_entries
+        model = json.loads(path_or_json)
+        self.apart = _words_apart(model)
+        self.largest = max([*model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens") or ())]) if isinstance(model["model"].get("vocab"), dict) else 1 << 31
         self.model = None
 
     def __getstate__(self):
-        return {"json": self.json, "cache_entries": self.cache_entries, "model": None}
+        return self.__dict__ | {"model": None, "many": None, "cache": None}
 
     def _start(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(self.json)
-        self.many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        self.many = self.model.encode_batch  # its fast form gives no offsets
         self.cache = Cache(self.cache_entries)
 
+    def _learn(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
+        for k in range(0, len(new), 64 * JOIN):
+            words = [w.decode() for w in new[k : k + 64 * JOIN]]
+            groups = [words[i : i + JOIN] for i in range(0, len(words), JOIN)]
+            for i, (group, e) in enumerate(zip(groups, self.many([" ".join(g) for g in groups], add_special_tokens=False))):
+                ids = np.array(e.ids, "<u4").tobytes()
+                begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+                ends = np.cumsum([len(w) + 1 for w in group])
+                cuts = (4 * np.searchsorted(begins, ends)).tolist()
+                for w, a, b in zip(new[k + i * JOIN : k + (i + 1) * JOIN], [0, *cuts], cuts):
+                    into[w] = ids[a:b]
+
     def encode(self, texts: list[bytes], end: int | None) -> list[np.ndarray]:
         if self.model is None:
             self._start()
         tail, out = b"" if end is None else struct.pack("<I", end), []
         for at in range(0, len(texts), 256):
-            parts = [t.split() for t in texts[at : at + 256]]
-            new = self.cache.unknown(set().union(*parts))
+            some = texts[at : at + 256]
+            if not self.apart:
+                out += [np.frombuffer(np.array(e.ids, "<u4").tobytes() + tail, "<u4") for e in self.many([t.decode() for t in some], add_special_tokens=False)]
+                continue
+            parts = [t.split() for t in some]
+            if new := self.cache.unknown(set().union(*parts)):
+                self._learn(new, self.cache.now)
             word = self.cache.now
-            if new:
-                for k in range(0, len(new), 4096):
-                    some = new[k : k + 4096]
-                    for w, e in zip(some, self.many([w.decode() for w in some], add_special_tokens=False)):
-                        word[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             out += [np.frombuffer(b"".join(map(word.__getitem__, p)) + tail, "<u4") for p in parts]
         return out
 
@@ -154,7 +188,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, files:
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(WordEncoder(f.read()))
+        made = WordEncoder(f.read())
+    shared, wide = spark.sparkContext.broadcast(made), max(made.largest, end_id or 0) > 65_535
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +203,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, files:
                         fs, where = pafs.FileSystem.from_uri(folder)
                         fs.create_dir(where, recursive=True)
                         path = f"{folder}/{uuid.uuid4().hex}.zst"
-                        writer, first = FrameWriter(fs.open_output_stream(f"{where}/{path.rsplit('/', 1)[1]}", compression=None)), k
+                        writer, first = FrameWriter(fs.open_output_stream(f"{where}/{path.rsplit('/', 1)[1]}", compression=None), wide), k
                     writer.add(k, ids)
                     docs_in += 1
         if writer is not None:
