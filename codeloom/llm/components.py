@@ -38,4 +38,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components aren't done after {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

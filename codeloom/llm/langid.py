@@ -12,9 +12,8 @@ not learned from; repeated rows get the same answer. Only the text is an input.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +22,9 @@ from .common import fold, map_rows
 
 #: Bytes of a window; size of a byte's embedding; filters of each width.
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: Bounds of the training sample: rows of a language, windows of a row, languages.
-ROWS_PER_LANG, WINDOWS_PER_ROW, LANGS = 600, 4, 1000
-_LETTER = re.compile(r"[^\W\d_]").search
+#: Bounds of the training sample: rows of a language, windows of a row.
+ROWS_PER_LANG, WINDOWS_PER_ROW = 600, 4
+_LETTER = regex.compile(r"\p{L}").search
 UND = "und"
 
 
@@ -172,14 +171,14 @@ def train(texts: list[str], langs: list[str]) -> ByteCNN:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, rows_per_lang: int = ROWS_PER_LANG) -> ByteCNN:
     """Sample about ``rows_per_lang`` rows of each language outside the held-out fold, by a keyed hash."""
     known = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("k", folds) != held)
-    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    totals = known.groupBy("lang").count().orderBy("lang").collect()  # one row a language
     if not totals:
         return train([], [])
     spread = 1 << 30
-    share = F.create_map(*(x for r in totals for x in (F.lit(r[0]), F.lit(min(spread, round(spread * rows_per_lang / r[1]))))))
-    some = known.where(F.pmod(F.xxhash64(F.lit(8), "k"), F.lit(spread)) < F.coalesce(share[F.col("lang")], F.lit(0)))
-    bound = 2 * rows_per_lang * len(totals)  # never reached but for keys that repeat
-    rows = some.select("text", "lang").limit(bound).collect()
+    share = docs.sparkSession.createDataFrame([(r[0], min(spread, round(spread * rows_per_lang / r[1]))) for r in totals], "lang string, share long")
+    # the key and the text decide, so rows that repeat a key only aren't taken or left together
+    some = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(8), "k", "text"), F.lit(spread)) < F.col("share"))
+    rows = some.select("text", "lang").distinct().collect()
     rows = sorted(((r[0], r[1]) for r in rows), key=lambda r: (xxhash.xxh64_intdigest(r[0]), r))
     return train([r[0] for r in rows], [r[1] for r in rows])
 
