@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .cache import Cache
 
-#: Entries of each generation of the two caches that a Python worker keeps, and the longest word that is kept, in characters.
-CACHE_ENTRIES, CACHED_LENGTH = 100_000, 64
+#: Entries of each generation of a Python worker's caches of words and pre-tokens (some 100 MB), longest word that is kept, in characters.
+CACHE_ENTRIES, CACHED_LENGTH = (250_000, 150_000), 64
 #: Bytes of ids that are returned at once.
 SLICE_BYTES = 4 << 20
 
@@ -126,7 +126,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: tuple[int, int] = CACHE_ENTRIES):
         self.ranks, self.pattern, self.cache_entries = ranks, pattern, cache_entries
         self.keys = list(ranks)
         self.hash = PerfectHash(self.keys)
@@ -135,8 +135,7 @@ class ByteBPE:
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern).findall
         self.spaced = regex.compile(r"\s").search
-        self.packed: Cache = Cache(self.cache_entries)
-        self.word: Cache = Cache(self.cache_entries)
+        self.word, self.packed = (Cache(n) for n in self.cache_entries)
         self.ids = np.array([self.ranks[k] for k in self.keys], np.int64)
         self.token = {i: k for k, i in self.ranks.items()}
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -36,7 +36,7 @@ MINIMA, BAND, SKETCH, AGREE = 36, (3, 4), 32, (18, 23)
 #: Shingle lengths: of the two signatures and of the exact test; fewer long shingles than FEW call for the short ones.
 LONG, SHORT, EXACT, FEW = 7, 5, 5, 9
 #: Characters after which a long shingle is taken: some letters and digits, and all beyond Latin.
-MARK = "[bfjrvzBFJVZ26[^\\x00-\\u024f]]"
+MARK = "[bdfgjkpvwyzBDFGJKPVWYZ26[^\\x00-\\u024f]]"
 #: Lines of a bucket up to which all its unsettled pairs are tried.
 ALL = 64
 #: Candidate lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined by a shuffle.
@@ -76,9 +76,9 @@ def _few(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """Columns id, kind, sketch and bucket: a row for each band of each signature of each different line."""
+    """Columns id, sketch and bucket: a row for each band of each signature of each different line."""
     # the start of most long lines tells that they have enough marks
-    few = F.when(F.length("line") < 2 * LONG, True).when(~_few(F.substring("line", 1, 40 * LONG)), False).otherwise(_few(F.col("line")))
+    few = F.when(F.length("line") < 2 * LONG, True).when(~_few(F.substring("line", 1, 24 * LONG)), False).otherwise(_few(F.col("line")))
     signed = lambda rows, kind, parts: rows.select("id", F.lit(kind).alias("kind"), F.explode_outer(parts).alias("part")).where("part is not null").select("id", "kind", F.hash("part").alias("h"))
     parts = signed(lines, 0, _marked(F.col("line"))).unionByName(signed(lines.where(few), 1, _shingles(F.col("line"), SHORT)))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(MINIMA))]
@@ -86,15 +86,17 @@ def signatures(lines: DataFrame) -> DataFrame:
     sketch = F.lit(0).cast("long")
     for k in range(SKETCH):
         sketch = sketch.bitwiseOR(F.shiftleft(F.hash(f"m{k}").bitwiseAND(F.lit(3)).cast("long"), 2 * k))
-    of = lambda kind, n: F.array(*(F.xxhash64(F.lit(kind), F.lit(k), *(f"m{j}" for j in range(k, k + n))) for k in range(0, MINIMA, n)))
-    return found.select("id", "kind", sketch.alias("sketch"), F.explode_outer(F.when(F.col("kind") == 0, of(0, BAND[0])).otherwise(of(1, BAND[1]))).alias("bucket"))
+    # a bucket's last bit is its kind
+    of = lambda kind, n: F.array(*(F.xxhash64(F.lit(k), *(f"m{j}" for j in range(k, k + n))).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(kind)) for k in range(0, MINIMA, n)))
+    return found.select("id", sketch.alias("sketch"), F.explode_outer(F.when(F.col("kind") == 0, of(0, BAND[0])).otherwise(of(1, BAND[1]))).alias("bucket"))
 
 
-def meetings(buckets: DataFrame) -> DataFrame:
-    """Columns bucket, id, sketch, n (the bucket's lines) and first (its smallest id, with its sketch) of the lines that aren't alone in a bucket."""
-    # counted before the shuffle; the join splits what a hot bucket holds
-    counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "sketch")).alias("first")).where("n > 1")
-    return buckets.join(counted, "bucket")
+def meetings(signed: DataFrame) -> DataFrame:
+    """Columns bucket, id, kind, sketch, n (the bucket's lines) and first and first_sketch (its smallest id) of the lines that aren't alone in a bucket."""
+    w = Window.partitionBy("bucket")
+    met = signed.select("*", F.min(F.struct("id", "sketch")).over(w).alias("least"), F.count("*").over(w).alias("n")).where("n > 1")
+    kind = F.col("bucket").bitwiseAND(F.lit(1)).cast("int")
+    return met.select("bucket", "id", kind.alias("kind"), "sketch", "n", F.col("least.id").alias("first"), F.col("least.sketch").alias("first_sketch"))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -105,13 +107,13 @@ def _near(a: Column, b: Column) -> Column:
 
 def candidates(met: DataFrame) -> DataFrame:
     """Pairs (u, v) of a line and the first line of a bucket that it is in, of near sketches."""
-    near = met.where((F.col("first.id") != F.col("id")) & _near(F.col("sketch"), F.col("first.sketch")))
-    return near.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct()
+    near = met.where((F.col("first") != F.col("id")) & _near(F.col("sketch"), F.col("first_sketch")))
+    return near.select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
 
 
 def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
     """Columns bucket, n, kind, id, sketch and component of the lines that share a bucket with a line of another component, neither being its first."""
-    rest = met.where((F.col("n") > 2) & (F.col("first.id") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "kind", "id", "sketch", F.coalesce("component", "id").alias("component"))
+    rest = met.where((F.col("n") > 2) & (F.col("first") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "kind", "id", "sketch", F.coalesce("component", "id").alias("component"))
     open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     return rest.join(open_.select("bucket"), "bucket", "left_semi")
 
