@@ -276,7 +276,7 @@ def test_line_dedup_odd(odd, empty):
 
 @pytest.fixture(scope="module")
 def byte_bpe():
-    return bpe.ByteBPE(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, 2000)
+    return bpe.ByteBPE(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, (2000, 2000))
 
 
 @pytest.fixture(scope="module")
