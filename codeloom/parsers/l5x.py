@@ -9,32 +9,106 @@ from collections.abc import Iterator
 
 #: Spellings of one instruction.
 ALIASES = {"MOVE": "MOV", "EQ": "EQU", "NE": "NEQ", "LT": "LES", "GT": "GRT", "LE": "LEQ", "GE": "GEQ", "LIMIT": "LIM"}
-#: Operands by place. r reads a tag, w writes one, l literal, k keyword, j label, e expression,
-#: s routine; ``*`` repeats the last; ``$`` before a letter: the last operand, whatever its place.
-OPERANDS = dict(
-    line.split(": ")
-    for line in """XIC: r|XIO: r|OTE: w|OTL: w|OTU: w|ONS: w|OSR: ww|OSF: ww|MOV: rw|CLR: w|CPT: we|SWPB: rkw|BTD: rlwll|MVM: rrw|AND: rrw|OR: rrw|XOR: rrw|NOT: rw
-EQU: rr|NEQ: rr|LES: rr|GRT: rr|LEQ: rr|GEQ: rr|LIM: rrr|MEQ: rrr|CMP: e|ADD: rrw|SUB: rrw|MUL: rrw|DIV: rrw|MOD: rrw|ABS: rw|SQR: rw|NEG: rw|DTOS: rw|RTOS: rw|STOD: rw|STOR: rw
-COP: rwr|CPS: rwr|FLL: rwr|SIZE: rlw|FAL: wllkwe|FSC: wllke|CONCAT: rrw|MID: rrlw|DELETE: rrlw|INSERT: rrlw|FIND: rrlw|TON: wll|TOF: wll|RTO: wll|CTU: wll|CTD: wll|RES: w
-GSV: kkk$w|SSV: kkk$r|MSG: w|PID: wrrw|JSR: slr*|JXR: slr*|SBR: r*|RET: r*|JMP: j|LBL: j|MCR: -|AFI: -|NOP: -|TND: -|UID: -|UIE: -""".replace("\n", "|").split("|")
-)
+#: Operands by place, as the instruction manual describes them. r reads a tag, w writes one, l is a literal,
+#: k a keyword, j a label, e an expression, s a routine.
+OPERANDS = {
+    # bits
+    "XIC": ("r",),
+    "XIO": ("r",),
+    "OTE": ("w",),
+    "OTL": ("w",),
+    "OTU": ("w",),
+    "ONS": ("w",),
+    "OSR": ("w", "w"),
+    "OSF": ("w", "w"),
+    # timers and counters: the structure, preset and accumulated value
+    "TON": ("w", "l", "l"),
+    "TOF": ("w", "l", "l"),
+    "RTO": ("w", "l", "l"),
+    "CTU": ("w", "l", "l"),
+    "CTD": ("w", "l", "l"),
+    "RES": ("w",),
+    # comparison
+    "CMP": ("e",),
+    "EQU": ("r", "r"),
+    "NEQ": ("r", "r"),
+    "GRT": ("r", "r"),
+    "GEQ": ("r", "r"),
+    "LES": ("r", "r"),
+    "LEQ": ("r", "r"),
+    "LIM": ("r", "r", "r"),
+    "MEQ": ("r", "r", "r"),
+    # arithmetic and conversion
+    "CPT": ("w", "e"),
+    "ADD": ("r", "r", "w"),
+    "SUB": ("r", "r", "w"),
+    "MUL": ("r", "r", "w"),
+    "DIV": ("r", "r", "w"),
+    "MOD": ("r", "r", "w"),
+    "SQR": ("r", "w"),
+    "NEG": ("r", "w"),
+    "ABS": ("r", "w"),
+    # moves and logic
+    "MOV": ("r", "w"),
+    "MVM": ("r", "r", "w"),
+    "CLR": ("w",),
+    "BTD": ("r", "l", "w", "l", "l"),
+    "SWPB": ("r", "k", "w"),
+    "AND": ("r", "r", "w"),
+    "OR": ("r", "r", "w"),
+    "XOR": ("r", "r", "w"),
+    "NOT": ("r", "w"),
+    # arrays and files
+    "COP": ("r", "w", "r"),
+    "CPS": ("r", "w", "r"),
+    "FLL": ("r", "w", "r"),
+    "SIZE": ("r", "l", "w"),
+    "FAL": ("w", "l", "l", "k", "w", "e"),
+    "FSC": ("w", "l", "l", "k", "e"),
+    # strings
+    "CONCAT": ("r", "r", "w"),
+    "DELETE": ("r", "r", "l", "w"),
+    "FIND": ("r", "r", "l", "w"),
+    "INSERT": ("r", "r", "l", "w"),
+    "MID": ("r", "r", "l", "w"),
+    "DTOS": ("r", "w"),
+    "RTOS": ("r", "w"),
+    "STOD": ("r", "w"),
+    "STOR": ("r", "w"),
+    # program control
+    "JMP": ("j",),
+    "LBL": ("j",),
+    "JSR": ("s", "l", "r"),
+    "JXR": ("s", "l", "r"),
+    "SBR": ("r",),
+    "RET": ("r",),
+    "MCR": (),
+    "AFI": (),
+    "NOP": (),
+    "TND": (),
+    "UID": (),
+    "UIE": (),
+    # system values, messages, loops
+    "GSV": ("k", "k", "k"),
+    "SSV": ("k", "k", "k"),
+    "MSG": ("w",),
+    "PID": ("w", "r", "r", "w"),
+}
+#: Instructions that repeat their last operand; the role of the last operand, whatever its place.
+REPEATING = {"JSR", "JXR", "SBR", "RET"}
+LAST = {"GSV": "w", "SSV": "r"}
 _WORD = re.compile(r"[A-Za-z_][\w]*")
 _EXPRESSION_WORDS = {"AND", "OR", "XOR", "NOT", "MOD"}
 
 
 def role(mnemonic: str, place: int, arity: int) -> str:
-    """The letter of OPERANDS; tags of unknown instructions are only read."""
-    spec = OPERANDS.get(mnemonic)
-    if spec is None:
-        return "r"
-    if "$" in spec:
-        spec, last = spec.split("$")
-        if place == arity - 1:
-            return last
-    if spec.endswith("*"):
-        spec = spec[:-1]
-        return spec[min(place, len(spec) - 1)]
-    return spec[place] if place < len(spec) else "r"
+    """The letter of OPERANDS; tags of unknown instructions, and further operands, are only read."""
+    if mnemonic in LAST and place == arity - 1:
+        return LAST[mnemonic]
+    places = OPERANDS.get(mnemonic, ())
+    if mnemonic in REPEATING:
+        place = min(place, len(places) - 1)
+    return places[place] if place < len(places) else "r"
 
 
 def instructions(text: str) -> Iterator[tuple[str, list[str]]]:

@@ -11,7 +11,7 @@ from ..streaming import changes
 from .catalog import register
 
 
-def _queries(m, every: int = 100):
+def _queries(m, every: int = 50):
     return m.embeddings.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
@@ -24,12 +24,12 @@ def l2_normalise(m):
     return unit.select("vec_id", F.round(joins.dot(F.col("embedding"), F.col("embedding")), 5).alias("n2"))
 
 
-@register(f"SELECT query_id, vec_id, rank0, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) - 1 AS rank0 FROM {{embeddings}} q JOIN {{embeddings}} v ON true WHERE q.vec_id % 100 = 0) z WHERE rank0 < 10")
+@register(f"SELECT query_id, vec_id, rank0, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, {_DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) - 1 AS rank0 FROM {{embeddings}} q JOIN {{embeddings}} v ON true WHERE q.vec_id % 50 = 0) z WHERE rank0 < 10")
 def vector_top_k(m):
     return vector.top_k(_queries(m), m.embeddings, 10).select("query_id", "vec_id", "rank0", F.round("score", 6).alias("score"))
 
 
-_TIERS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id, v.vec_id % 3 ORDER BY {_DOT} DESC, v.vec_id) - 1 AS rank0 FROM {{embeddings}} q JOIN {{embeddings}} v ON true WHERE q.vec_id % 100 = 0"
+_TIERS = f"SELECT q.vec_id AS query_id, v.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id, v.vec_id % 3 ORDER BY {_DOT} DESC, v.vec_id) - 1 AS rank0 FROM {{embeddings}} q JOIN {{embeddings}} v ON true WHERE q.vec_id % 50 = 0"
 
 
 @register(f"SELECT query_id, vec_id, round(score, 9) AS score, label FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS r FROM (SELECT query_id, vec_id, sum(1.0 / (60 + rank0)) AS score FROM ({_TIERS}) t WHERE rank0 < 50 GROUP BY 1, 2) s) z JOIN {{embeddings}} e USING (vec_id) WHERE r <= 10")
@@ -39,7 +39,7 @@ def semantic_search_rrf(m):
     return best.join(m.embeddings.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), "label")
 
 
-_Q = "SELECT item_id AS query_id, text FROM {benchmark} WHERE item_id < 5"
+_Q = "SELECT item_id AS query_id, text FROM {benchmark}"
 _BM = f"""SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS score FROM (
     SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({_Q}) a) b GROUP BY 1, 2) q
     JOIN (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM (SELECT term, ln(n_docs - n + 0.5) - ln(n + 0.5) AS raw FROM (SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {{documents}}) c GROUP BY term) d, (SELECT count(*) AS n_docs FROM {{documents}}) e) f) i USING (term)
@@ -203,8 +203,8 @@ def fan_in_out(m):
     return analytics.degrees(analytics.aggregate_edges(m.small))
 
 
-_REL = "SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('n', CAST(c_nationkey AS STRING)) AS dst, 'CALLS' AS kind FROM {customer} WHERE c_custkey % 4 = 0 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), 'IMPORTS' FROM {nation}"
-_COMM = "SELECT concat('c', CAST(c_custkey AS STRING)) AS node, CAST(c_nationkey AS INT) AS community FROM {customer} WHERE c_custkey % 4 = 0 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), CAST(n_nationkey AS INT) FROM {nation} UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), 100 + CAST(r_regionkey AS INT) FROM {region}"
+_REL = "SELECT concat('c', CAST(c_custkey AS STRING)) AS src, concat('n', CAST(c_nationkey AS STRING)) AS dst, 'CALLS' AS kind FROM {customer} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), 'IMPORTS' FROM {nation}"
+_COMM = "SELECT concat('c', CAST(c_custkey AS STRING)) AS node, CAST(c_nationkey AS INT) AS community FROM {customer} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), CAST(n_nationkey AS INT) FROM {nation} UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), 100 + CAST(r_regionkey AS INT) FROM {region}"
 _UND = f"SELECT src AS a, dst AS b, CAST(CASE kind WHEN 'CALLS' THEN 1.0 ELSE 0.6 END AS DOUBLE) AS w FROM ({_REL}) e"
 
 
@@ -227,7 +227,7 @@ def louvain_communities(m):
     return analytics.communities(analytics.undirected(pairs), nodes)
 
 
-@register("SELECT n AS node, CAST(0 AS DOUBLE) AS betweenness FROM (SELECT concat('c', CAST(c_custkey AS STRING)) AS n FROM {customer} WHERE c_custkey % 4 = 0 UNION SELECT concat('r', CAST(n_regionkey AS STRING)) FROM {nation}) z UNION ALL SELECT concat('n', CAST(k AS STRING)), round(CAST(cnt AS DOUBLE) / ((t - 1) * (t - 2)), 9) FROM (SELECT n_nationkey AS k, count(c_custkey) AS cnt FROM {nation} LEFT JOIN (SELECT * FROM {customer} WHERE c_custkey % 4 = 0) c ON c_nationkey = n_nationkey GROUP BY 1) x, (SELECT (SELECT count(*) FROM {customer} WHERE c_custkey % 4 = 0) + (SELECT count(*) FROM {nation}) + (SELECT count(DISTINCT n_regionkey) FROM {nation}) AS t) y")
+@register("SELECT n AS node, CAST(0 AS DOUBLE) AS betweenness FROM (SELECT concat('c', CAST(c_custkey AS STRING)) AS n FROM {customer} UNION SELECT concat('r', CAST(n_regionkey AS STRING)) FROM {nation}) z UNION ALL SELECT concat('n', CAST(k AS STRING)), round(CAST(cnt AS DOUBLE) / ((t - 1) * (t - 2)), 9) FROM (SELECT n_nationkey AS k, count(c_custkey) AS cnt FROM {nation} LEFT JOIN (SELECT * FROM {customer}) c ON c_nationkey = n_nationkey GROUP BY 1) x, (SELECT (SELECT count(*) FROM {customer}) + (SELECT count(*) FROM {nation}) + (SELECT count(DISTINCT n_regionkey) FROM {nation}) AS t) y")
 def betweenness(m):
     pairs = analytics.aggregate_edges(m.sql(_REL))
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()

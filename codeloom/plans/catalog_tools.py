@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from . import tools
 from .catalog import register
 
-_HITS = "SELECT 0 AS query_id, doc_id AS item, path, text, CAST(1000 - doc_id % 500 AS DOUBLE) / 1000 AS score, doc_id AS pos, CASE WHEN doc_id % 4 = 0 THEN 'structural' ELSE 'semantic' END AS source, path AS scope FROM {files} WHERE doc_id % 9 = 0"
+_HITS = "SELECT 0 AS query_id, doc_id AS item, path, text, CAST(1000 - doc_id % 500 AS DOUBLE) / 1000 AS score, doc_id AS pos, CASE WHEN doc_id % 4 = 0 THEN 'structural' ELSE 'semantic' END AS source, path AS scope FROM {files}"
 
 
 @register()
 def semantic_code_search(m):
     docs = m.documents.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("path"), F.col("lang").alias("scope"), "text")
     chunks = m.embeddings.join(docs, "vec_id").withColumn("tier", F.col("vec_id") % 3)
-    queries = m.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = m.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return tools.semantic_code_search(queries, chunks).select("query_id", "vec_id", "pos", "n_tokens")
 
 
@@ -31,12 +31,16 @@ def analyze_blast_radius(m):
 
 @register("""SELECT path, CASE WHEN text LIKE '%idiot%' THEN 'compliant' WHEN score >= 0.65 * (SELECT max(score) FROM (""" + _HITS + """) a) THEN 'possible' END AS bucket FROM (""" + _HITS + """) h WHERE text LIKE '%idiot%' OR score >= 0.65 * (SELECT max(score) FROM (""" + _HITS + """) b)""")
 def detect_pattern_violations(m):
-    return tools.detect_pattern_violations(m.sql(_HITS), m.files.limit(0), "Zq_a Zq_b", ["idiot"]).select("path", "bucket")
+    return tools.detect_pattern_violations(m.sql(_HITS), m.files, "Zq_a Zq_b", ["idiot"]).select("path", "bucket")
 
 
-@register("""SELECT path, bucket, layer FROM (SELECT path, 'CONSUMERS' AS bucket, 'UTILITY' AS layer, row_number() OVER (ORDER BY pos) AS r FROM (""" + _HITS + """) h WHERE text LIKE '%the%') z WHERE r <= 15""")
+@register(r"""SELECT path, bucket, 'UTILITY' AS layer FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY pos) AS r FROM (SELECT path, pos, CASE
+    WHEN path LIKE '%.py' AND regexp_matches(text, '(?m)\b(class|def)\s+the\b|^\s*the\s*[:=]') OR path LIKE '%.ts' AND regexp_matches(text, '\b(interface|type|class|const|function)\s+the\b') OR path LIKE '%.cs' AND regexp_matches(text, '\b(class|interface|record|struct|enum)\s+the\b') THEN 'DEFINITIONS'
+    WHEN path LIKE '%.py' AND regexp_matches(text, '\breturn\s+.*\bthe\(|\byield\s+.*\bthe\b') OR path LIKE '%.ts' AND regexp_matches(text, '\bnew\s+the\b|:\s*the\s*=\s*\x7B|\bas\s+the\b') OR path LIKE '%.cs' AND regexp_matches(text, '\bnew\s+the\b') THEN 'PRODUCERS'
+    WHEN text LIKE '%the%' AND (text LIKE '%.filter(%' OR text LIKE '%.map(%' OR text LIKE '%.sort(%' OR text LIKE '%useMemo(%') THEN 'TRANSFORMERS'
+    WHEN text LIKE '%the%' THEN 'CONSUMERS' END AS bucket FROM (""" + _HITS + """) h) b WHERE bucket IS NOT NULL) z WHERE r <= CASE bucket WHEN 'CONSUMERS' THEN 15 WHEN 'TRANSFORMERS' THEN 12 ELSE r END""")
 def trace_data_flow(m):
-    return tools.trace_data_flow(m.sql(_HITS), m.files.limit(0), "the").select("path", "bucket", "layer")
+    return tools.trace_data_flow(m.sql(_HITS), m.files, "the").select("path", "bucket", "layer")
 
 
 @register("SELECT path, CASE WHEN source = 'structural' THEN 'caller' WHEN text LIKE '%the%' THEN 'consumer' ELSE 'semantic_match' END AS role, 'UTILITY' AS layer FROM (" + _HITS + ") h")
@@ -53,7 +57,7 @@ def risk_rules(m):
 @register("SELECT path, 'direct' AS bucket FROM (SELECT concat('src/test_d', CAST(doc_id AS VARCHAR), '.py') AS path FROM {documents}) z WHERE path LIKE '%d12%'")
 def find_test_coverage(m):
     files = m.documents.select(F.concat(F.lit("src/test_d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
-    return tools.find_test_coverage(files, m.sql(_HITS).limit(0), "src/d12.py")
+    return tools.find_test_coverage(files, m.sql(_HITS), "src/d12.py")
 
 
 @register("SELECT CAST(count(CASE WHEN c >= 0.5 THEN 1 END) AS BIGINT) AS verified, CAST(count(CASE WHEN c < 0.5 THEN 1 END) AS BIGINT) AS candidates FROM (SELECT source_fqn, max(coalesce(confidence, CASE WHEN candidate THEN 0.25 ELSE 1.0 END)) AS c FROM {calls} WHERE target = 'P7' GROUP BY 1) z")

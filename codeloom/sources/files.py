@@ -217,8 +217,8 @@ def append_baseline(spark: SparkSession, path: str, rows: DataFrame, key: list[s
 
 @dataclass
 class Snapshots:
-    """Versions of a set of tables below one folder: each is written whole to a new folder, then the
-    pointer file moves. Readers pin the version that they found; a crash leaves the old one."""
+    """Versions of a set of tables below one folder: each is written whole to a new folder and then marked as
+    committed. The newest committed one counts; readers pin the version that they found; a crash leaves the old one."""
 
     spark: SparkSession
     root: str
@@ -229,34 +229,33 @@ class Snapshots:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def versions(self) -> list[str]:
+    def versions(self, committed: bool = True) -> list[str]:
+        """Names in the order of their numbers; by default of those that were written to their end."""
         fs, at = self._hadoop(self.root)
         if not fs.exists(at):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("v"))
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("v"))
+        return [n for n in names if not committed or fs.exists(self._hadoop(f"{self.root}/{n}/_COMMITTED")[1])]
 
     def current(self) -> str | None:
-        fs, at = self._hadoop(f"{self.root}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return f"{self.root}/{self.spark.read.text(f'{self.root}/CURRENT').first()[0].strip()}"
+        found = self.versions()
+        return f"{self.root}/{found[-1]}" if found else None
 
     def publish(self, tables: dict[str, DataFrame], meta: dict | None = None) -> str:
-        number = int(self.versions()[-1][1:9]) + 1 if self.versions() else 1
+        every = self.versions(committed=False)
+        number = int(every[-1][1:9]) + 1 if every else 1
         name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
         for t, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{t}")
         if meta:
             self.spark.createDataFrame([(k, json.dumps(v)) for k, v in meta.items()], "key string, value string").coalesce(1).write.parquet(f"{self.root}/{name}/meta")
-        fs, tmp = self._hadoop(f"{self.root}/.CURRENT-{name}")
-        out = fs.create(tmp, True)
-        out.write(bytearray((name + "\n").encode()))
-        out.close()
-        _, at = self._hadoop(f"{self.root}/CURRENT")
-        fs.delete(at, False)
-        fs.rename(tmp, at)
-        for old in self.versions()[: -self.kept]:
-            fs.delete(self._hadoop(f"{self.root}/{old}")[1], True)
+        fs, mark = self._hadoop(f"{self.root}/{name}/_COMMITTED")
+        fs.create(mark, True).close()
+        # versions before the last kept ones go, and what a crash left before them
+        oldest = self.versions()[-self.kept :][0]
+        for old in self.versions(committed=False):
+            if old < oldest:
+                fs.delete(self._hadoop(f"{self.root}/{old}")[1], True)
         return f"{self.root}/{name}"
 
 
