@@ -5,6 +5,7 @@ import os
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,6 +65,51 @@ def test_toxicity(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.95
 
 
+def ratio_plainly(counts, word, order=5, discount=0.75):
+    """The two class models' log-likelihood ratio of a word, from dictionaries of strings."""
+    grams = [[{} for _ in range(3)] for _ in range(order)]
+    for w in set(counts[0]) | set(counts[1]):
+        marked = "\x01" * (order - 1) + "\x02" + w + "\x03"
+        for i in range(order, len(marked)):
+            for n in range(order):
+                for k, c in enumerate((1, counts[0].get(w, 0), counts[1].get(w, 0))):
+                    if c:
+                        after = grams[n][k].setdefault(marked[i - n : i], {})
+                        after[marked[i]] = after.get(marked[i], 0) + c
+
+    def level(after, letter, lower):
+        total = sum(after.values())
+        return (max(after.get(letter, 0) - discount, 0) + discount * len(after) * lower) / total if total else lower
+
+    marked, out = "\x01" * (order - 1) + "\x02" + word + "\x03", 0.0
+    for i in range(order, len(marked)):
+        lower, own = 1 / 256, [1 / 256, 1 / 256]
+        for n in range(order):
+            ctx, letter = marked[i - n : i], marked[i]
+            lower = level(grams[n][0].get(ctx, {}), letter, lower)
+            own = [lower, lower] if n < 2 else [level(grams[n][c + 1].get(ctx, {}), letter, 0.5 * own[c] + 0.5 * lower) for c in (0, 1)]
+        out += math.log(own[1]) - math.log(own[0])
+    return out / max(len(word) + 1, toxicity.SHORT)
+
+
+def test_kneser_ney_is_the_plain_one():
+    counts = ({"able": 3, "table": 2, "étable": 1, "b4d": 1}, {"bad": 4, "badly": 1, "table": 1})
+    words = ["able", "bad", "bat", "tables", "b4d", "é", "日本"]
+    assert np.allclose(toxicity.KneserNey.of(counts).ratios(words), [ratio_plainly(counts, w) for w in words], atol=1e-4)
+
+
+def test_language_models_count_all_rows(spark):
+    """Distributed sums are those of one count over all rows, whatever the sample and the tasks' bounds."""
+    rng = random.Random(7)
+    rows = [(prose(rng, 60), int(i % 3 == 0)) for i in range(300)] + [(None, 0), ("", 1)]
+    counts = (Counter(), Counter())
+    for text, label in rows:
+        counts[label].update((text or "").split())
+    plain, spread = toxicity.KneserNey.of(counts), toxicity.language_models(spark.createDataFrame(rows, "__text string, __label int").repartition(7))
+    assert np.allclose(plain.ratios(WORDS), spread.ratios(WORDS), atol=1e-5)
+    assert all(np.array_equal(a.keys, b.keys) and np.allclose(a.values, b.values) for a, b in zip(plain.grams, spread.grams))
+
+
 def test_toxicity_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(odd, none)
