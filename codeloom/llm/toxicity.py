@@ -245,14 +245,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not totals:
         return calibrate(KneserNey.of(({}, {})), [], [], 0.0)
     drawn = marks.where(F.pmod(F.xxhash64("__key"), F.lit(SAMPLE_SHARE)) == 0)
-    chosen = [drawn.where(F.col("__label") == c).orderBy(F.xxhash64(F.lit("sample"), "__key"), "__key").limit(rows_per_class).select("__key") for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).withColumn("__sampled", F.lit(True))
+    chosen = [drawn.where(F.col("__label") == c).orderBy(F.xxhash64(F.lit("sample"), "__key"), "__key").limit(rows_per_class) for c in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     given = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    told = marks.join(F.broadcast(chosen), "__key", "left")
-    rows = given.join(told, "__key")
-    model = language_models(rows.where("__sampled IS NULL"))
+    model = language_models(given.join(marks.join(chosen, ["__key", "__label"], "left_anti"), "__key"))
     # a key may come in many rows: one of each is enough to fit the weights, and bounds what the driver holds
-    sample = rows.where("__sampled").groupBy("__key", "__label").agg(F.min("__text").alias("__text")).orderBy("__key").collect()
+    sample = given.join(chosen, "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text")).orderBy("__key").collect()
     return calibrate(model, [r["__text"] or "" for r in sample], [r["__label"] for r in sample], totals.get(1, 0) / sum(totals.values()))
 
 
