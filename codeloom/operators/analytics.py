@@ -29,6 +29,33 @@ def aggregate_edges(edges: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.sum(w).alias("weight"), F.sum(F.when(F.col("kind") != "OWNS", w).otherwise(0.0)).alias("coupling_weight"), F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def scoped(edges: DataFrame, path: str = "") -> DataFrame:
+    """Edges (src, dst) with an end in a file below a path."""
+    inside = lambda c: F.substring_index(c, "::", 1).startswith(path)
+    return edges.where(inside("src") | inside("dst")) if path else edges
+
+
+def coupled_core(pairs: DataFrame) -> DataFrame:
+    """Nodes with at least one coupling edge; only these take part in the communities that spans are counted over."""
+    return coupling(pairs)[0].select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def analyze(edges: DataFrame, owns: DataFrame, path: str = "", min_size: int = 1, splits: bool = False) -> dict[str, DataFrame]:
+    """Scope, communities (with size and cohesion), modularity, owners that span coupled communities, and splits."""
+    pairs = aggregate_edges(scoped(edges, path))
+    und = undirected(pairs)
+    membership = communities(und, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    coupled = undirected(coupling(pairs)[0], "coupling_weight")
+    spans = communities(coupled, coupled_core(pairs), refine=False)
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    central = betweenness(pairs, nodes).join(degrees(pairs), "node", "left")
+    sizes = membership.groupBy("community").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).where(F.col("size") >= min_size)
+    out = {"communities": sizes.join(cohesion(und, membership), "community"), "modularity": modularity(und, membership), "god_objects": god_objects(owns, spans, central)}
+    if splits:
+        out["splits"] = split_suggestions(owns.join(out["god_objects"].select("owner"), "owner", "left_semi"), spans)
+    return out
+
+
 def undirected(pairs: DataFrame, column: str = "weight") -> DataFrame:
     return pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col(column).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
@@ -184,9 +211,14 @@ def connected(und: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     both = und.select("a", "b").unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     spark = und.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not shared:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="codeloom-")
+        spark.sparkContext.setCheckpointDir(shared)
     for _ in range(rounds):
         least = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(least, labels["node"] == least["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
@@ -194,8 +226,8 @@ def connected(und: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
         changed = jump.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
         labels = jump
         if changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components aren't done after {rounds} rounds")
 
 
 def betweenness(pairs: DataFrame, nodes: DataFrame, sources: int | None = None) -> DataFrame:

@@ -51,6 +51,36 @@ def plan_run(disk: DataFrame, stored: DataFrame, expected: DataFrame, vectors: D
     return {"diff": diff, "vectors": reconcile_vectors(expected, vectors)}
 
 
+def apply_run(disk: DataFrame, stored: DataFrame, confirmed: bool = False) -> DataFrame:
+    """The stored table after a run: path, content_hash, action. New and modified files take the disk's hash, files
+    that went leave the table unless the deletion guard holds them back (``held``), the others are ``kept``."""
+    diff = deletion_guard(three_way_diff(disk, stored), stored, confirmed)
+    now, before = disk.select("path", F.col("content_hash").alias("now")), stored.select("path", F.col("content_hash").alias("before"), F.lit(True).alias("in_store"))
+    rows = before.join(now.withColumn("on_disk", F.lit(True)), "path", "full").join(diff, "path", "left").where("status IS NULL OR status <> 'deleted'")
+    held = F.col("on_disk").isNull()
+    action = F.when(held, "held").otherwise(F.coalesce("status", F.lit("kept")))
+    return rows.select("path", F.when(held, F.col("before")).otherwise(F.col("now")).alias("content_hash"), action.alias("action"))
+
+
+def reindex(snapshots, disk: DataFrame, build, confirmed: bool = False) -> str:
+    """One run over a snapshot folder: diff, guard, rebuild of what changed, commit of the whole as a new version.
+
+    ``disk`` has path, content_hash and what ``build`` needs; ``build`` makes rows (with path) of changed files.
+    Whatever fails before the commit leaves the version before it; a run without changes publishes nothing.
+    """
+    spark, at = disk.sparkSession, snapshots.current()
+    stored = spark.read.parquet(f"{at}/files") if at else spark.createDataFrame([], "path string, content_hash string")
+    state = apply_run(disk, stored, confirmed)
+    changed = disk.join(state.where("action IN ('new', 'modified')").select("path"), "path", "left_semi")
+    gone = stored.join(state, "path", "left_anti")
+    if at and changed.isEmpty() and gone.isEmpty():
+        return at
+    rows = build(changed)
+    if at:
+        rows = upsert(spark.read.parquet(f"{at}/rows"), rows, changed.select("path").unionByName(gone.select("path")))
+    return snapshots.publish({"files": state.select("path", "content_hash"), "rows": rows})
+
+
 def migrate(table: DataFrame, schema: str) -> DataFrame:
     """Additive, idempotent: columns that are new are null, the others stay."""
     from pyspark.sql.types import _parse_datatype_string

@@ -72,19 +72,28 @@ def containing(points: DataFrame, intervals: DataFrame, key: str = "path", point
     """
     cells = intervals.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(stop).alias("__stop"), F.col(name).alias("__name"))
     cells = cells.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor(F.col("__stop") / width))))
-    at = points.withColumn("__cell", F.floor(F.col(point) / width))
+    # equal points are met once and come back as often as they came
+    at = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("__times")).withColumn("__cell", F.floor(F.col(point) / width))
     inside = (at[key] == cells["__key"]) & (at["__cell"] == cells["__cell"]) & at[point].between(cells["__start"], cells["__stop"])
     met = at.join(cells, inside, "left").drop(cells["__cell"]).drop("__cell")
     best = F.max_by("__name", F.struct("__start", "__name")) if innermost else F.min_by("__name", F.struct("__start", F.col("__name")))
-    return met.groupBy(*points.columns).agg(best.alias("enclosing"))
+    found = met.groupBy(*points.columns, "__times").agg(best.alias("enclosing"))
+    return found.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")
 
 
 def hunk_overlap(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols that a diff touches: a changed range meets their lines outside nested symbols, or a
-    deletion point p lies with start <= p < end. ``hunks`` has path, ranges (array of struct a, b) and points."""
+    deletion point p lies with start <= p < end. ``hunks`` has path, ranges (array of struct a, b) and points.
+
+    The innermost symbol changes only where one starts or has ended, so of a range only its first line and
+    such lines within it are looked up, however long it is.
+    """
     own = symbols.select("fqn", "path", "start_line", "end_line")
-    lines = hunks.select("path", F.explode("ranges").alias("r")).select("path", F.explode(F.sequence("r.a", "r.b")).alias("line"))
-    owner = containing(lines.distinct(), own, innermost=True).where("enclosing is not null").select(F.col("enclosing").alias("fqn"))
+    ranges = hunks.select("path", F.explode("ranges").alias("r")).select("path", "r.a", "r.b").distinct()
+    bounds = own.select("path", F.explode(F.array("start_line", F.col("end_line") + 1)).alias("line")).distinct()
+    turns = containing(bounds, ranges, start="a", stop="b", name="a").where("enclosing is not null").select("path", "line")
+    lines = ranges.select("path", F.col("a").alias("line")).unionByName(turns).distinct()
+    owner = containing(lines, own, innermost=True).where("enclosing is not null").select(F.col("enclosing").alias("fqn"))
     points = hunks.select("path", F.explode("points").alias("p"))
     cut = points.join(own, "path").where((F.col("start_line") <= F.col("p")) & (F.col("p") < F.col("end_line"))).select("fqn")
     return owner.unionByName(cut).distinct().join(own, "fqn")

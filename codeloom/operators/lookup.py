@@ -129,3 +129,48 @@ def stats(**tables: DataFrame) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def file_record(files: DataFrame, path: str) -> DataFrame:
+    """The stored row of exactly this path."""
+    return files.where(F.col("path") == path)
+
+
+def has_files(files: DataFrame) -> DataFrame:
+    """One row: whether any file is stored; reads one row at most."""
+    return files.limit(1).agg((F.count("*") > 0).alias("has_files"))
+
+
+def meta_get(meta: DataFrame, key: str, default: str | None = None) -> DataFrame:
+    """One row: the value under a key, else the default."""
+    return meta.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit(default).cast("string")).alias("value"))
+
+
+def meta_set(meta: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The key-value table with the fresh rows in place of those under the same keys."""
+    return meta.join(fresh.select("key").distinct(), "key", "left_anti").select("key", "value").unionByName(fresh.select("key", "value"))
+
+
+def resolve_paths(files: DataFrame, asked: DataFrame, root: str = "") -> DataFrame:
+    """What stored file each ``asked.file`` means: file, outcome, path, candidates.
+
+    Either separator, a leading ``./`` and an absolute path below ``root`` are accepted. ``exact`` if that path
+    is stored, ``tail`` if just one path ends in it (ignoring case), ``ambiguous`` with all that do, else
+    ``missing`` with the paths of the same file name; ``empty`` where nothing was asked. Paths meet by their last part.
+    """
+    p = F.regexp_replace(F.trim(F.coalesce("file", F.lit(""))), r"\\", "/")
+    if root:
+        top = root.replace("\\", "/").rstrip("/") + "/"
+        p = F.when(F.lower(p).startswith(top.lower()), F.substring(p, len(top) + 1, 1 << 30)).otherwise(p)
+    want = F.regexp_replace(F.regexp_replace(p, r"^(\./)+", ""), "^/+|/+$", "")
+    last = lambda c: F.lower(F.substring_index(c, "/", -1))
+    wanted = asked.select("file").distinct().select("file", want.alias("want")).withColumn("last", last("want"))
+    have = files.select("path").distinct().withColumn("last", last("path"))
+    low, tail = F.lower("path"), F.lower("want")
+    ends = (low == tail) | low.endswith(F.concat(F.lit("/"), tail))
+    near = F.array_sort(F.collect_list("path"))
+    met = wanted.join(have, "last", "left").groupBy("file", "want").agg(F.max(F.when(F.col("path") == F.col("want"), F.col("path"))).alias("exact"), F.array_sort(F.collect_list(F.when(ends, F.col("path")))).alias("tails"), near.alias("near"))
+    outcome = F.when(F.col("want") == "", "empty").when(F.col("exact").isNotNull(), "exact").when(F.size("tails") == 1, "tail").when(F.size("tails") > 1, "ambiguous").otherwise("missing")
+    path = F.when(outcome == "exact", F.col("exact")).when(outcome == "tail", F.col("tails")[0])
+    others = F.when(outcome == "ambiguous", F.col("tails")).when((outcome == "missing") & F.col("want").contains("/"), F.col("near")).otherwise(F.array().cast("array<string>"))
+    return met.select("file", outcome.alias("outcome"), path.alias("path"), others.alias("candidates"))

@@ -57,7 +57,10 @@ def duck(sql: str) -> str:
     visit(sql)
     plain = lambda t: re.sub(r"\{(\w+)\}", lambda m: "1" if m[1] == "first" else m[1], t)  # noqa: E731  lists count from 1 there
     with_ = ", ".join(f"{n} AS ({plain(BINDINGS[n])})" for n in need)
-    return (f"WITH {with_} " if with_ else "") + plain(sql)
+    text = plain(sql)
+    if with_ and text.startswith("WITH "):  # the query has common table expressions of its own
+        return f"WITH {with_}, {text.removeprefix('WITH ')}"
+    return (f"WITH {with_} " if with_ else "") + text
 
 
 class Model:

@@ -275,6 +275,15 @@ def render(rows: DataFrame, fmt: str = "markdown", most: int = 200) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(cell(r[c]) for c in head) + " |" for r in got)])
 
 
+def community_report(analysis: dict[str, DataFrame], fmt: str = "markdown", most: int = 200) -> str:
+    """The parts of an analysis as one text; communities by size, the others by score."""
+    order = {"communities": [F.desc("size"), "community"], "god_objects": [F.desc("score"), "owner"], "splits": ["owner", "part"], "modularity": []}
+    parts = {name: (rows.orderBy(*order[name]) if order[name] else rows) for name, rows in analysis.items()}
+    if fmt == "json":
+        return json.dumps({name: json.loads(render(rows, "json", most)) for name, rows in parts.items()}, ensure_ascii=False)
+    return "\n\n".join(f"## {name}\n\n{render(rows, 'markdown', most)}" for name, rows in parts.items())
+
+
 def dsm_html(cells: DataFrame, names: list[str], most: int = 200_000) -> str:
     """A self-contained page with the matrix's cells; the caller aggregates large graphs first."""
     data = json.dumps({"names": names, "cells": [[r[0], r[1], r[2]] for r in cells.select("row", "col", "weight").limit(most).collect()]}).replace("</", "<\\/")

@@ -10,6 +10,7 @@ import tomllib
 import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,8 +18,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.identity import content_hash, lf
 
 #: Default policy: extensions that are read, folders that aren't.
-EXTENSIONS = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".gs", ".cs", ".csproj", ".sln", ".cpp", ".cc", ".h", ".hpp", ".L5X")
-SKIPPED_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "bin", "obj")
+EXTENSIONS = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".gs", ".cs", ".cshtml", ".razor", ".csproj", ".sln", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".L5X")
+SKIPPED_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "site-packages", ".tox", ".eggs", "dist", "build", ".next", "obj")
+#: ``bin`` itself may hold scripts; what a build puts below it isn't read.
+SKIPPED_PATHS = ("bin/Debug", "bin/Release", "bin/x64", "bin/x86")
+#: Names of files that hold credentials; never read, whatever extensions are asked for, unless a policy takes one back.
+CREDENTIALS = (
+    ".env", ".env.*", "!.env.example", "!.env.sample", "!.env.template",
+    "*credentials*.json", "client_secret*.json", "*service[-_]account*.json", "serviceaccount*.json", "*firebase-adminsdk*.json", "secrets.json",
+    "*-" + "[0-9a-f]" * 12 + ".json", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519",
+)
 
 
 @dataclass
@@ -29,8 +38,8 @@ class ScanPolicy:
     extensions: tuple[str, ...] = EXTENSIONS
     any_dirs: tuple[str, ...] = SKIPPED_DIRS
     root_dirs: tuple[str, ...] = ()
-    dir_paths: tuple[str, ...] = ()
-    file_globs: tuple[str, ...] = ("*.min.js", "*.d.ts")
+    dir_paths: tuple[str, ...] = SKIPPED_PATHS
+    file_globs: tuple[str, ...] = ("*.min.js", "*.d.ts", *CREDENTIALS)
 
     def keeps(self, path: Column) -> Column:
         p = F.lower(path)
@@ -92,13 +101,53 @@ def find_config(start: str, name: str = "indexer.toml") -> dict:
         at = os.path.dirname(at)
 
 
+def _readable(content: Column) -> Column:
+    """UTF-8 text; only where bytes are bad Python drops those, the rest stays in the JVM."""
+
+    @F.pandas_udf("string")
+    def lenient(bad: pd.Series) -> pd.Series:
+        return bad.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    whole = F.try_validate_utf8(content.cast("string"))
+    return F.coalesce(whole, lenient(F.when(whole.isNull(), content).otherwise(F.lit(b""))))
+
+
+@dataclass
+class EmbedderConfig:
+    """What an embedder is asked for: the ``embeddings`` table of the configuration."""
+
+    model_id: str = "hashed"
+    dimension: int = 64
+    max_seq_length: int = 512
+    dtype: str = "auto"
+    query_instruct: str = ""
+
+    @classmethod
+    def load(cls, config: dict) -> EmbedderConfig:
+        given = config.get("embeddings", {})
+        unknown = set(given) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown embedding options: {sorted(unknown)}")
+        return cls(**{k: int(v) if k in ("dimension", "max_seq_length") else str(v) for k, v in given.items()})
+
+
+def read_manifest(path: str, private: str | None = None) -> list[dict]:
+    """The ``repos`` of a TOML manifest, then those of a private one if that is there."""
+    found: list[dict] = []
+    for p in (path, private):
+        if p and (p == path or os.path.exists(p)):
+            with open(p, "rb") as f:
+                found += tomllib.load(f).get("repos", [])
+    return found
+
+
 def scan_folder(spark: SparkSession, root: str, policy: ScanPolicy | None = None) -> DataFrame:
-    """path (below the root), content_hash (line ends made alike), text (UTF-8, bad bytes replaced)."""
+    """path (below the root), content_hash (line ends made alike), text (UTF-8, bad bytes left out). Spark lists no file without bytes."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
     rows = rows.select(F.regexp_replace("path", "^[a-z0-9]+:/*" + base.lstrip("/").replace(".", r"\.") + "/", "").alias("path"), "content", "length", "modificationTime")
     rows = rows.where((policy or ScanPolicy()).keeps(F.col("path")))
-    return rows.select("path", content_hash(F.col("content")).alias("content_hash"), lf(F.try_validate_utf8(F.col("content").cast("string"))).alias("text"), "length", F.col("modificationTime").alias("modified_at"))
+    return rows.select("path", content_hash(F.col("content")).alias("content_hash"), lf(_readable(F.col("content"))).alias("text"), "length", F.col("modificationTime").alias("modified_at"))
 
 
 def largest_file(spark: SparkSession, root: str) -> DataFrame:

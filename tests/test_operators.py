@@ -209,3 +209,91 @@ def test_tags(spark):
     assert got[:6] == ["[REACT_COMPONENT]", "[ELEVATED_PRIVILEGE]", "[HOOK]", "[CONTEXT_PROVIDER]", "[FIRESTORE_MUTATION]", "[SERVER_ACTION]"]
     assert one.select(tags.csharp_symbol(F.lit("Go"), F.lit("[HttpPost, Authorize] void Go() {}"))).first()[0] == ["[CS_AUTHORIZE]", "[CS_HTTP_MUTATE]"]
     assert one.select(tags.cpp_symbol(F.lit("go"), F.lit("strcpy(a, b); system(c);"))).first()[0] == ["[CPP_UNSAFE_BUF]", "[CPP_EXEC_CMD]"]
+
+
+# maintenance
+
+def test_reindex_survives_a_crash(spark, tmp_path):
+    """A run that dies before its commit leaves the version before it; the next run does the whole job."""
+    from codeloom.operators.incremental import reindex
+    from codeloom.sources.files import Snapshots
+
+    store = Snapshots(spark, str(tmp_path / "index"))
+    disk = lambda rows: spark.createDataFrame(rows, "path string, content_hash string, text string")
+    build = lambda changed: changed.select("path", F.explode(F.split("text", " ")).alias("word"))
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{store.current()}/rows").collect())
+    first = reindex(store, disk([("a", "1", "x y"), ("b", "1", "z")]), build)
+    assert read() == [("a", "x"), ("a", "y"), ("b", "z")]
+    assert reindex(store, disk([("a", "1", "x y"), ("b", "1", "z")]), build) == first  # nothing changed
+
+    later = disk([("a", "2", "w"), ("c", "1", "v")])
+
+    def breaks(changed):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        reindex(store, later, breaks)
+    assert store.current() == first and len(read()) == 3
+    reindex(store, later, build)
+    assert read() == [("a", "w"), ("c", "v")]
+
+
+def test_reindex_holds_mass_deletions(spark, tmp_path):
+    from codeloom.operators.incremental import apply_run
+
+    stored = spark.createDataFrame([(f"f{i}", "1") for i in range(100)], "path string, content_hash string")
+    disk = stored.where("path = 'f1'")
+    assert {r["action"]: r["count"] for r in apply_run(disk, stored).groupBy("action").count().collect()} == {"kept": 1, "held": 99}
+    assert apply_run(disk, stored, confirmed=True).count() == 1
+
+
+def test_containing_keeps_repeated_points(spark):
+    from codeloom.operators.joins import containing
+
+    points = spark.createDataFrame([("a", 3)] * 3 + [("a", 99)], "path string, line int")
+    spans = spark.createDataFrame([("a", 1, 5, "f")], "path string, start_line int, end_line int, fqn string")
+    assert sorted((r["line"], r["enclosing"] or "") for r in containing(points, spans).collect()) == [(3, "f")] * 3 + [(99, "")]
+
+
+def test_long_hunk(spark):
+    """A range of a million lines touches an outer symbol by its own lines only."""
+    from codeloom.operators.joins import hunk_overlap
+
+    symbols = spark.createDataFrame([("a", "outer", 1, 900_000), ("a", "inner", 10, 20), ("a", "late", 950_000, 950_010), ("b", "other", 1, 9)], "path string, fqn string, start_line int, end_line int")
+    hunk = lambda a, b: spark.createDataFrame([("a", [(a, b)], [])], "path string, ranges array<struct<a:int,b:int>>, points array<int>")
+    touched = lambda a, b: sorted(r["fqn"] for r in hunk_overlap(hunk(a, b), symbols).collect())
+    assert touched(1, 1_000_000) == ["inner", "late", "outer"]
+    assert touched(12, 15) == ["inner"] and touched(12, 21) == ["inner", "outer"] and touched(900_001, 900_002) == []
+
+
+def test_analysis_report(spark):
+    import json
+
+    from codeloom.operators import analytics
+    from codeloom.plans import tools
+
+    edges = spark.createDataFrame([("p/a::f", "p/a::g", "CALLS"), ("p/a::g", "p/a::f", "CALLS"), ("q/b::h", "q/b::k", "CALLS"), ("p/a::C", "p/a::f", "OWNS")], "src string, dst string, kind string")
+    owns = spark.createDataFrame([("p/a::C", "p/a::f")], "owner string, member string")
+    report = json.loads(tools.community_report(analytics.analyze(edges, owns, path="p/", min_size=2, splits=True), "json"))
+    assert [c["size"] for c in report["communities"]] == [3] and report["god_objects"] == [] and report["splits"] == []
+    assert "## communities" in tools.community_report(analytics.analyze(edges, owns))
+    assert sorted(r[0] for r in analytics.coupled_core(analytics.aggregate_edges(edges)).collect()) == ["p/a::f", "p/a::g", "q/b::h", "q/b::k"]
+
+
+def test_scan_drops_bad_bytes(spark, tmp_path):
+    from codeloom.sources.files import scan_folder
+
+    (tmp_path / "a.py").write_bytes(b"x = 1\r\n\xff# \xc3\xa9")
+    assert {r["path"]: r["text"] for r in scan_folder(spark, str(tmp_path)).collect()} == {"a.py": "x = 1\n# é"}
+
+
+def test_embedder_and_manifest(tmp_path):
+    from codeloom.sources.files import EmbedderConfig, read_manifest
+
+    assert EmbedderConfig.load({"embeddings": {"dimension": "8"}}).dimension == 8 and EmbedderConfig.load({}) == EmbedderConfig()
+    with pytest.raises(ValueError):
+        EmbedderConfig.load({"embeddings": {"size": 1}})
+    (tmp_path / "m.toml").write_text('[[repos]]\nname = "one"\n')
+    (tmp_path / "own.toml").write_text('[[repos]]\nname = "two"\n')
+    names = lambda *p: [r["name"] for r in read_manifest(*map(str, p))]
+    assert names(tmp_path / "m.toml", tmp_path / "none.toml") == ["one"] and names(tmp_path / "m.toml", tmp_path / "own.toml") == ["one", "two"]
