@@ -20,31 +20,32 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     home = symbols.select(F.col("fqn").alias("source_fqn"), F.col("path").alias("source_path"))
     calls = calls.join(home, "source_fqn", "left").withColumn("name", F.substring_index(F.substring_index("target", "::", -1), ".", -1))
     owners = edges.where(F.col("kind") == "OWNS").select(F.coalesce("resolved_target", "target").alias("fqn"), F.substring_index(F.substring_index("source_fqn", "::", -1), ".", -1).alias("owner"))
-    members = symbols.select("fqn", "name", F.col("path").alias("to_path")).join(owners, "fqn", "left")
-    imports = edges.where((F.col("kind") == "IMPORTS") & F.col("resolved_target").isNotNull()).select(F.col("source_fqn").alias("source_path"), F.col("resolved_target").alias("to_path")).distinct().withColumn("imported", F.lit(True))
-    met = calls.join(members, "name", "left").join(imports, ["source_path", "to_path"], "left")
-
-    def only(condition, label):
-        hit = F.when(condition & F.col("fqn").isNotNull(), F.col("fqn"))
-        return [F.count_distinct(hit).alias(f"n_{label}"), F.max(hit).alias(label)]
-
-    key = ["source_fqn", "target", "source_path", "receiver_type", "bound_module", "member_call", "external"]
-    told = met.groupBy(*key).agg(
-        *only(F.lit(True), "repo"),
-        *only(F.col("owner") == F.col("receiver_type"), "typed"),
-        *only(F.col("to_path") == F.col("bound_module"), "bound"),
-        *only(F.col("to_path") == F.col("source_path"), "local"),
-        *only(F.col("imported"), "imports"),
+    members = symbols.select("fqn", "name", F.col("path").alias("to_path")).where("fqn IS NOT NULL")
+    imports = edges.where((F.col("kind") == "IMPORTS") & F.col("resolved_target").isNotNull()).select(F.col("source_fqn").alias("source_path"), F.col("resolved_target").alias("to_path")).distinct()
+
+    def told(rows, label, *by):
+        """The least and greatest candidate of each key: one if they are the same, more if not, none if both lack."""
+        return rows.groupBy(*by).agg(F.min("fqn").alias(f"{label}_least"), F.max("fqn").alias(label))
+
+    # every call meets one row of each of these, however many symbols bear its name
+    here = members.select(F.col("name"), F.col("to_path").alias("source_path"), "fqn")
+    found = calls.select("source_fqn", "target", "source_path", "name", "receiver_type", "bound_module", "member_call", "external").distinct()
+    found = (
+        found.join(told(members, "repo", "name"), "name", "left")
+        .join(told(members.join(owners, "fqn").withColumnRenamed("owner", "receiver_type"), "typed", "name", "receiver_type"), ["name", "receiver_type"], "left")
+        .join(told(members.withColumnRenamed("to_path", "bound_module"), "bound", "name", "bound_module"), ["name", "bound_module"], "left")
+        .join(told(here, "local", "name", "source_path"), ["name", "source_path"], "left")
+        .join(told(imports.join(members, "to_path"), "imports", "name", "source_path"), ["name", "source_path"], "left")
     )
     script, python = F.coalesce(F.col("source_path").endswith(".gs"), F.lit(False)), F.coalesce(F.col("source_path").endswith(".py"), F.lit(False))
     plain = (F.col("member_call") == F.lit(False)) | (F.col("member_call").isNull() & ~python)
-    one = lambda k: F.col(f"n_{k}") == 1
+    one = lambda k: F.col(k).isNotNull() & (F.col(f"{k}_least") == F.col(k))
     out = lambda name, target, c=1.0: F.struct(F.lit(name).alias("outcome"), target.cast("string").alias("to"), F.lit(c).alias("confidence"))
     none = F.lit(None)
     typed = F.when(one("typed"), out("receiver", F.col("typed"), 0.9)).otherwise(out("ambiguous", none))
-    bound = F.when(F.col("external"), out("external", none)).when(one("bound"), out("bound", F.col("bound"))).when((F.col("n_bound") == 0) & one("repo"), out("bound_repo", F.col("repo"))).otherwise(out("ambiguous", none))
+    bound = F.when(F.col("external"), out("external", none)).when(one("bound"), out("bound", F.col("bound"))).when(F.col("bound").isNull() & one("repo"), out("bound_repo", F.col("repo"))).otherwise(out("ambiguous", none))
     rest = (
-        F.when(F.col("n_repo") == 0, out("unknown", none))
+        F.when(F.col("repo").isNull(), out("unknown", none))
         .when(one("repo"), out("unique", F.col("repo")))
         .when(script & ~F.coalesce(F.col("member_call"), F.lit(False)), out("ambiguous", none))
         .when(one("local"), out("same_file", F.col("local")))
@@ -52,7 +53,7 @@ def resolve_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
         .otherwise(out("ambiguous", none))
     )
     how = F.when(F.col("receiver_type").isNotNull(), typed).when(F.col("bound_module").isNotNull(), bound).otherwise(rest)
-    return told.withColumn("how", how).select("source_fqn", "target", F.col("how.to").alias("resolved_target"), F.when(F.col("how.to").isNotNull(), F.col("how.confidence")).alias("confidence"), F.col("how.outcome").alias("outcome"))
+    return found.withColumn("how", how).select("source_fqn", "target", F.col("how.to").alias("resolved_target"), F.when(F.col("how.to").isNotNull(), F.col("how.confidence")).alias("confidence"), F.col("how.outcome").alias("outcome"))
 
 
 #: What an import may leave out, in order of preference.
