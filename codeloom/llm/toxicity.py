@@ -248,7 +248,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = [drawn.where(F.col("__label") == c).orderBy(F.xxhash64(F.lit("sample"), "__key"), "__key").limit(rows_per_class) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     given = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    model = language_models(given.join(marks.join(chosen, ["__key", "__label"], "left_anti"), "__key"))
+    # labels grow with the texts, so they meet by a sort-merge join at every size
+    model = language_models(given.join(marks.join(chosen, ["__key", "__label"], "left_anti").hint("merge"), "__key"))
     # a key may come in many rows: one of each is enough to fit the weights, and bounds what the driver holds
     sample = given.join(chosen, "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text")).orderBy("__key").collect()
     return calibrate(model, [r["__text"] or "" for r in sample], [r["__label"] for r in sample], totals.get(1, 0) / sum(totals.values()))
