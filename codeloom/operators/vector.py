@@ -75,8 +75,8 @@ def tokens(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", k: int | None = None) -> DataFrame:
     """Okapi BM25 of queries (query_id, text) over documents (key, text): query_id, key, score.
 
-    idf is ln(N - n + 0.5) - ln(n + 0.5); negative ones become EPSILON times the mean idf. Only the
-    query's terms are counted in documents, so what is shuffled follows the matches.
+    idf is ln(N - n + 0.5) - ln(n + 0.5); negative ones become EPSILON times the mean idf. The
+    terms of all documents are counted: the floor needs the mean idf of the whole vocabulary.
     """
     words = docs.select(key, tokens(F.col("text")).alias("w"))
     size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_len"))
