@@ -9,10 +9,11 @@ ones, ones that repeat a pattern) have a second signature of their SHORT shingle
 from every place. Bands of some minima meet in buckets, where pairs go on if enough
 of all their minima agree: every line is tried with the bucket's first, so that
 groups of copies cost as much as they have lines, not pairs. Where that leaves lines
-of several components in a bucket, all its pairs of different components are tried;
-buckets of more than ALL lines are instead joined without loss: similar lines share
-one of their rarest shingles. What meets is verified by the exact Jaccard similarity
-of all character shingles. A distributed union-find joins the links, and of each
+of several components in a bucket, a few more lines of each large bucket are tried
+with all others, and then all its pairs of different components, whatever its size:
+a bitmap of all shingles rules out most pairs and no alike one. What is left is
+verified by the exact Jaccard similarity of all character shingles.
+A distributed union-find joins the links, and of each
 component only the first line (smallest key, then place) stays.
 
 Defined results: blank lines always stay; a null text stays null; documents keep
@@ -24,11 +25,12 @@ follows the text where that column exists; other columns are untouched.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, stash
 from .components import components
 
 #: Minima of a signature; minima of a band, for long and short shingles; a sketch has two bits of SKETCH minima, of which so many must agree.
@@ -37,12 +39,12 @@ MINIMA, BAND, SKETCH, AGREE = 36, (3, 4), 32, (18, 23)
 LONG, SHORT, EXACT, FEW = 7, 5, 5, 9
 #: Characters after which a long shingle is taken: some letters and digits, and all beyond Latin.
 MARK = "[bdfgjkpvwyzBDFGJKPVWYZ26[^\\x00-\\u024f]]"
-#: Lines of a bucket up to which all its unsettled pairs are tried.
-ALL = 64
+#: Words of 64 bits of the bitmap that rules out pairs of unsettled lines, a power of two up to 256.
+WORDS = 16
+#: A bucket of more than MANY lines tries LEADERS of them with all others, in so many ROUNDS, before all pairs that are left; blocks of a large bucket have about BLOCK lines.
+MANY, LEADERS, ROUNDS, BLOCK = 64, 16, 2, 1024
 #: Candidate lines are sent to all tasks up to so many (24 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
-#: Classes by which the shingles of unsettled lines are counted; their counts are sent to all tasks.
-CLASSES = 1 << 17
 
 
 def _permutations(n: int) -> list[int]:
@@ -111,48 +113,76 @@ def candidates(met: DataFrame) -> DataFrame:
     return near.select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The buckets with lines of several components."""
+    return rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+
+
 def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """Columns bucket, n, kind, id, sketch and component of the lines that share a bucket with a line of another component, neither being its first."""
-    rest = met.where((F.col("n") > 2) & (F.col("first") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "kind", "id", "sketch", F.coalesce("component", "id").alias("component"))
-    open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    return rest.join(open_.select("bucket"), "bucket", "left_semi")
+    """Columns bucket, n, id and component of the lines that share a bucket with a line of another component, neither being its first."""
+    rest = met.where((F.col("n") > 2) & (F.col("first") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+    return rest.join(_open(rest), "bucket", "left_semi")
 
 
-def small_candidates(rest: DataFrame) -> DataFrame:
-    """Pairs (u, v) of lines of different components that share a small bucket, of near sketches."""
-    small = rest.where(F.col("n") <= ALL)
-    a, b = (small.select("bucket", *["kind"] * (i == "u"), *(F.col(c).alias(f"{c}_{i}") for c in ("id", "sketch", "component"))) for i in "uv")
-    near = (F.col("id_u") < F.col("id_v")) & (F.col("component_u") != F.col("component_v")) & _near(F.col("sketch_u"), F.col("sketch_v"))
-    return a.join(b, "bucket").where(near).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """Columns id, size (its different shingles) and b0, b1, ... of each line: each shingle flips one of 64 * WORDS bits."""
+    parts = texts.select("id", F.explode_outer(parts_of("line")).alias("part"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("part", 8).bitwiseAND(F.lit(63)).cast("int"))
+    flips = [F.bit_xor(F.when(F.col("part").bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    return parts.groupBy("id").agg(F.count("*").cast("int").alias("size"), *flips)
 
 
-def rare_parts(sets: DataFrame, least: float) -> DataFrame:
-    """Columns part, id, component, n and after (how many aren't given) of the rarest shingles of each line (columns id, component, parts).
+def _may_be_alike(least: float) -> Column:
+    """Whether the bitmaps of lines u and v leave room for a Jaccard similarity of ``least`` or more.
 
-    Any two lines with a Jaccard similarity of ``least`` or more share one of
-    them: under one order of all shingles, they share one among the first
-    n - ceil(least * n) + 1. The order is by the count of a shingle's class.
+    A bit that differs stands for a shingle that only one of the lines has, at
+    least, and of alike lines few shingles differ: so no alike pair is lost.
     """
-    each = stash(sets.select("id", "component", F.size("parts").alias("n"), F.explode_outer("parts").alias("part")).withColumn("class", F.pmod(F.hash("part"), F.lit(CLASSES))), "line-parts")
-    counts = each.groupBy("class").agg(F.count("*").alias("many"))
-    ordered = each.join(F.broadcast(counts), "class").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("many", "part"))).alias("o"))
-    # rounded down a little, so that no error of floating point shortens a prefix
-    most = F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1
-    return ordered.select("id", "component", "n", (F.col("n") - most).alias("after"), F.explode_outer(F.slice("o", F.lit(1), most)["part"]).alias("part"))
+    apart = sum((F.bit_count(F.col(f"b{k}_u").bitwiseXOR(F.col(f"b{k}_v"))) for k in range(WORDS)), F.lit(0))
+    # a little more, so that no error of floating point loses a pair
+    most = (F.col("size_u") + F.col("size_v")) * ((1 - least) / (1 + least)) + 1e-6
+    return (F.least("size_u", "size_v") >= least * F.greatest("size_u", "size_v") - 1e-6) & (apart <= most)
+
+
+def _sides(u: DataFrame, v: DataFrame, on: list[str], least: float, also: Column | None = None) -> DataFrame:
+    """Pairs (u, v) of rows of two frames that agree in ``on``, of lines of different components that may be alike."""
+    sides = (d.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in d.columns if c not in on)) for d, x in ((u, "u"), (v, "v")))
+    near = (F.col("component_u") != F.col("component_v")) & _may_be_alike(least)
+    pairs = next(sides).join(next(sides), on).where(near if also is None else near & also)
+    return pairs.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
+
+
+def leader_candidates(rows: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (u, v) of LEADERS of each bucket, others in each turn, and its lines of other components that may be alike."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+    leaders = rows.select("bucket", "id", F.row_number().over(order).alias("at")).where(F.col("at") <= LEADERS).drop("at")
+    rows = rows.drop("n")
+    return _sides(leaders.join(rows, ["bucket", "id"]), rows, ["bucket"], least)
+
+
+def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the components that ``links`` make of theirs, without the buckets that are in one component now."""
+    own = rows.select("id", "component").distinct()
+    at = lambda x: own.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    joined = components(links.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    now = rows.join(joined, "component", "left").withColumn("component", F.coalesce("root", "component")).select(*rows.columns)
+    return now.join(_open(now), "bucket", "left_semi").select(*rows.columns)
 
 
-def rest_candidates(sets: DataFrame, least: float) -> DataFrame:
-    """All pairs (u, v) of lines of different components that share so many rare shingles that they may be alike.
+def rest_candidates(rows: DataFrame, least: float) -> DataFrame:
+    """All pairs (u, v) of lines of different components that share a bucket and may be alike.
 
-    Of the line whose rare shingles end first in the order, all others that it
-    shares are among those after: so many can be missing, of either line.
+    Lines of a bucket are dealt to blocks, and those of each two blocks meet in
+    a cell: no task has to try all pairs of a large bucket.
     """
-    rare = stash(rare_parts(sets, least), "line-rare")
-    a, b = (rare.select("part", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "after"))) for k in "ab")
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    asked = F.ceil((F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-6) - F.greatest("after_a", "after_b")
-    shared = a.join(b, "part").where(near).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), asked.alias("asked"))
-    return shared.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select("u", "v")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.hash("id"), blocks))
+    rows = rows.select("*", F.explode_outer(F.sequence(F.lit(0), blocks - 1)).alias("other")).drop("n")
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    # lines of one block meet in all its cells, and are tried in the one that it has alone
+    once = (F.col("block_u") != F.col("block_v")) | (F.col("low") == F.col("high"))
+    return _sides(rows, rows, ["bucket", "low", "high"], least, (F.col("id_u") < F.col("id_v")) & once)
 
 
 def alike(a: Column, b: Column, least: float) -> Column:
@@ -177,7 +207,9 @@ def texts_of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """Columns id and line of the different lines among ``ids``, stashed."""
     wanted = stash(ids, "line-ids")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    return stash(lines.select("id", "line").join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    texts = stash(lines.select("id", "line").join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    forget(wanted)
+    return texts
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -194,12 +226,23 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     texts = texts_of_ids(lines, met.select("id").distinct())
     links = stash(verified(candidates(met), texts, least), "line-links")
     rest = stash(unsettled(met, components(links)), "line-rest")
-    pairs = small_candidates(rest)
-    hard = rest.where(F.col("n") > ALL).select("id", "component").distinct()
-    if not hard.isEmpty():
-        sets = texts.join(hard, "id").select("id", "component", parts_of("line").alias("parts"))
-        pairs = pairs.unionByName(rest_candidates(sets, least)).distinct()
-    return links.unionByName(verified(pairs, texts, least))
+    forget(met)
+    bits = stash(bitmaps(texts.join(rest.select("id").distinct(), "id", "left_semi")), "line-bits")
+    few = rest.where(F.col("n") <= MANY).join(bits, "id")
+    many = stash(rest.where(F.col("n") > MANY).join(bits, "id"), "line-many")
+    more = [links]
+    for turn in range(0 if many.isEmpty() else ROUNDS):
+        found = stash(verified(leader_candidates(many, turn, least), texts, least), "line-links")
+        more.append(found)
+        if found.isEmpty():
+            break
+        many, before = stash(relabelled(many, found), "line-many"), many
+        forget(before)
+    more.append(verified(rest_candidates(few.unionByName(many), least), texts, least))
+    out = stash(reduce(DataFrame.unionByName, more), "line-links")
+    for used in (texts, rest, bits, many, *more[:-1]):
+        forget(used)
+    return out
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:

@@ -1,8 +1,8 @@
 """The operators of ``codeloom.llm`` on small fixtures, against brute force where SQL can't express them."""
 
 import hashlib
-import os
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -306,6 +306,38 @@ def test_line_dedup_rules(spark):
     assert joined == n == 10
 
 
+def test_line_dedup_large_buckets(spark, monkeypatch):
+    """In buckets of any size, all alike lines of different components meet once, in pairs that are few."""
+    rng = random.Random(13)
+    plan = [[rng.choice(WORDS) for _ in range(24)] for _ in range(40)]
+    lines = [" ".join(rng.choice(WORDS) if rng.random() < share else w for w in words) for words in plan for share in (0, 0.02, 0.04, 0.06)]
+    lines = list(dict.fromkeys(lines))
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rows = texts.join(line_dedup.bitmaps(texts), "id").select(F.lit(1).alias("bucket"), F.lit(len(lines)).cast("long").alias("n"), "id", F.col("id").alias("component"), "size", *(f"b{k}" for k in range(line_dedup.WORDS))).cache()
+    sets = [near_lines(x) for x in lines]
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for block in (1024, 16):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        pairs = [tuple(r) for r in line_dedup.rest_candidates(rows, 0.8).collect()]
+        assert want <= set(pairs) and len(pairs) <= 3 * len(want) and len(want) > 40
+    found = {tuple(r) for r in line_dedup.leader_candidates(rows, 0, 0.8).collect()}
+    assert found <= set(pairs)
+    links = spark.createDataFrame(sorted(want), "u long, v long")
+    left = line_dedup.relabelled(rows, links)
+    assert line_dedup.rest_candidates(left, 0.8).join(links, ["u", "v"], "left_semi").isEmpty()
+
+
+def test_line_dedup_leaves_no_files(spark):
+    """What only the search for links needs is deleted when they are found."""
+    from codeloom.llm.common import shared_dir
+
+    there = lambda: {n for n in os.listdir(shared_dir(spark).removeprefix("file://")) if n.startswith("line-")}
+    before = there()
+    a = "the same line stands in many documents of this small corpus"
+    links = line_dedup.similar_lines(corpus(spark, [a, a.replace("many", "meny"), a.replace("small", "smell")]))
+    assert links.count() and len(there() - before) == 1
+
+
 def test_line_dedup(spark):
     a, b = "the same line stands in many documents of this small corpus", "another line that nobody else has at all in here"
     docs = corpus(spark, [f"{a}\n{b}", f"x\n\n{a}", f"{a.replace('many', 'meny')}\n\nend", a])
