@@ -203,20 +203,30 @@ def parts_of(line: str) -> Column:
     return F.array_distinct(_shingles(F.col(line), EXACT))
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids (stashed); few ids are sent to all tasks, so that the other texts aren't shuffled."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, "id", "left_semi")
+
+
 def texts_of_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """Columns id and line of the different lines among ``ids``, stashed."""
     wanted = stash(ids, "line-ids")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = stash(lines.select("id", "line").join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    texts = stash(_only(lines.select("id", "line"), wanted).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
     forget(wanted)
     return texts
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose lines have a Jaccard similarity of ``least`` or more."""
+    """The pairs (u, v) whose lines have a Jaccard similarity of ``least`` or more, stashed."""
+    pairs = stash(pairs, "line-pairs")
+    ids = stash(pairs.select(F.explode_outer(F.array("u", "v")).alias("id")).distinct(), "line-ids")
+    texts = _only(texts, ids)
     left, right = texts.select(F.col("id").alias("u"), F.col("line").alias("a")), texts.select(F.col("id").alias("v"), F.col("line").alias("b"))
-    pairs = pairs.join(left, "u").join(right, "v")
-    return pairs.where(alike(parts_of("a"), parts_of("b"), least)).select("u", "v")
+    found = pairs.join(left, "u").join(right, "v").where(alike(parts_of("a"), parts_of("b"), least)).select("u", "v")
+    out = stash(found, "line-links")
+    forget(pairs)
+    forget(ids)
+    return out
 
 
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
@@ -224,15 +234,16 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     lines = lines_of(docs, key, text)
     met = stash(meetings(signatures(lines)), "line-buckets")
     texts = texts_of_ids(lines, met.select("id").distinct())
-    links = stash(verified(candidates(met), texts, least), "line-links")
+    links = verified(candidates(met), texts, least)
     rest = stash(unsettled(met, components(links)), "line-rest")
     forget(met)
-    bits = stash(bitmaps(texts.join(rest.select("id").distinct(), "id", "left_semi")), "line-bits")
+    ids = stash(rest.select("id").distinct(), "line-ids")
+    bits = stash(bitmaps(_only(texts, ids)), "line-bits")
     few = rest.where(F.col("n") <= MANY).join(bits, "id")
     many = stash(rest.where(F.col("n") > MANY).join(bits, "id"), "line-many")
     more = [links]
     for turn in range(0 if many.isEmpty() else ROUNDS):
-        found = stash(verified(leader_candidates(many, turn, least), texts, least), "line-links")
+        found = verified(leader_candidates(many, turn, least), texts, least)
         more.append(found)
         if found.isEmpty():
             break
@@ -240,7 +251,7 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
         forget(before)
     more.append(verified(rest_candidates(few.unionByName(many), least), texts, least))
     out = stash(reduce(DataFrame.unionByName, more), "line-links")
-    for used in (texts, rest, bits, many, *more[:-1]):
+    for used in (texts, rest, ids, bits, many, *more):
         forget(used)
     return out
 
