@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .cache import Cache
+from .common import give_back
 
 #: Entries of each generation of a Python worker's caches of words and pre-tokens (some 100 MB), longest word that is kept, in characters.
 CACHE_ENTRIES, CACHED_LENGTH = (250_000, 150_000), 64
@@ -206,19 +207,21 @@ class ByteBPE:
         return self.decode(np.frombuffer(packed, "<u4").tolist())
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, cache_entries: tuple[int, int] = CACHE_ENTRIES) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256, ids (array). No shuffle.
 
     ``ranks_path`` is read by the driver; the model of a few MB is broadcast.
-    Rows are returned as soon as their ids fill SLICE_BYTES.
+    Rows are returned as soon as their ids fill SLICE_BYTES. Smaller caches take
+    less of a worker's memory and more time; results don't depend on them.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(ByteBPE(load_ranks(ranks_path), pattern))
+    model = spark.sparkContext.broadcast(ByteBPE(load_ranks(ranks_path), pattern, cache_entries))
     schema = StructType([StructField(key, docs.schema[key].dataType)])
     for name, kind in (("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), ("ids", ArrayType(IntegerType())))[: 4 if with_ids else 3]:
         schema = schema.add(name, kind)
 
     def run(batches):
+        give_back()  # what earlier stages left in this worker
         bpe = model.value
 
         def slice_(batch, at, packed, plain):

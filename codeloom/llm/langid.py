@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_rows
+from .common import fold, give_back, map_rows
 
 #: Bytes of a window; size of a byte's embedding; filters of each width.
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
@@ -210,5 +210,6 @@ def accept(docs: DataFrame, net: ByteCNN, least: float = 0.5, text: str = "text"
         for batch in batches:
             names, scores = shared.value.predict(batch.column(columns.index(text)).to_pylist())
             yield batch.filter(pa.array([n != UND and s >= least for n, s in zip(names, scores)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

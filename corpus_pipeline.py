@@ -18,10 +18,22 @@ from codeloom.llm.common import stash, table
 LEAST_LANGUAGE_SCORE = 0.3
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE_WORDS = 5
+#: Entries of the encoder's caches: few, as an executor that ran the other stages has less memory left than a fresh one.
+ENCODER_CACHE = (60_000, 40_000)
+#: Most rows of an Arrow batch: the JVM and the Python worker both hold batches of whole texts, and Spark's 10,000 rows are much.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays. Spark reads it when a plan runs, so it isn't put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose language can't be told."""
+    _small_batches(spark)
     return langid.accept(docs, langid.learn(docs), LEAST_LANGUAGE_SCORE)
 
 
@@ -32,6 +44,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates."""
+    _small_batches(spark)
     return simhash.keep_first(docs, width=SHINGLE_WORDS)
 
 
@@ -42,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    _small_batches(spark)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache_entries=ENCODER_CACHE)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("simhash_near_dedup", near_dedup), ("mixing", mix_sources), ("byte_bpe", encode)]

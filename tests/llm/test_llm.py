@@ -676,3 +676,23 @@ def test_pipeline(spark, data):
     out = stages[-1][1](spark, now, data)
     assert out.count() == now.count()
     assert corpus_pipeline.run(spark, data).count() == out.count()
+
+
+def test_pipeline_leaves_memory_to_the_encoder(spark, odd, monkeypatch):
+    """Small batches and caches of the pipeline's encoder, and the same ids."""
+    import corpus_pipeline
+
+    seen, plain = [], bpe.ByteBPE.__init__
+    monkeypatch.setattr(bpe.ByteBPE, "__init__", lambda self, ranks, pattern, entries=bpe.CACHE_ENTRIES: seen.append(entries) or plain(self, ranks, pattern, entries))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        got = rows_of(corpus_pipeline.encode(spark, odd, ""))
+        assert spark.conf.get(name) == str(corpus_pipeline.BATCH_ROWS) and seen == [corpus_pipeline.ENCODER_CACHE] and sum(seen[0]) <= sum(bpe.CACHE_ENTRIES) / 4
+        assert got == rows_of(bpe.encode_documents(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+        spark.conf.set(name, "7")
+        corpus_pipeline.encode(spark, odd, "")
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
