@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, stash
+from .common import drop_shuffles, forget, stash
 from .components import components
 
 #: Minima of a signature; minima of a band, for long and short shingles; a sketch has two bits of SKETCH minima, of which so many must agree.
@@ -73,16 +73,18 @@ def _marked(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"(?s){MARK}(?=(.{{{LONG}}}))"), F.lit(1))
 
 
-def _few(line: Column) -> Column:
-    return F.size(F.array_distinct(_marked(line))) < FEW
-
-
 def signatures(lines: DataFrame) -> DataFrame:
-    """Columns id, sketch and bucket: a row for each band of each signature of each different line."""
-    # the start of most long lines tells that they have enough marks
-    few = F.when(F.length("line") < 2 * LONG, True).when(~_few(F.substring("line", 1, 24 * LONG)), False).otherwise(_few(F.col("line")))
-    signed = lambda rows, kind, parts: rows.select("id", F.lit(kind).alias("kind"), F.explode_outer(parts).alias("part")).where("part is not null").select("id", "kind", F.hash("part").alias("h"))
-    parts = signed(lines, 0, _marked(F.col("line"))).unionByName(signed(lines.where(few), 1, _shingles(F.col("line"), SHORT)))
+    """Columns id, sketch and buckets: a row for each signature of each different line, with its bands."""
+    marked = lines.select("id", "line", _marked(F.col("line")).alias("marks"))
+    # the first marks of most lines tell that there are enough
+    few = (F.size(F.array_distinct(F.slice("marks", 1, 2 * FEW))) < FEW) & (F.size(F.array_distinct("marks")) < FEW)
+    both = marked.select("id", "marks", F.size("marks").alias("long"), F.when(few, F.encode("line", "UTF-32")).alias("bytes"))
+    places = F.when(F.col("bytes").isNull(), 0).otherwise(F.greatest(F.length("bytes") / 4 - (SHORT - 1), F.lit(1)).cast("int"))
+    # a row for each shingle by its number, the long ones first (there is one at least): code on rows is compiled, functions over arrays aren't
+    rows = both.select("*", (F.col("long") + places).alias("all")).select("*", F.explode_outer(F.sequence(F.lit(0), F.col("all") - 1)).alias("at"))
+    short = F.xxhash64(F.substring("bytes", 4 * (F.col("at") - F.col("long")) + 1, F.lit(4 * SHORT)))
+    is_long = F.col("at") < F.col("long")
+    parts = rows.select("id", F.when(is_long, 0).otherwise(1).alias("kind"), F.when(is_long, F.hash(F.get("marks", "at"))).otherwise(F.hash(short)).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_permutations(MINIMA))]
     found = parts.groupBy("id", "kind").agg(*minima)
     sketch = F.lit(0).cast("long")
@@ -90,27 +92,28 @@ def signatures(lines: DataFrame) -> DataFrame:
         sketch = sketch.bitwiseOR(F.shiftleft(F.hash(f"m{k}").bitwiseAND(F.lit(3)).cast("long"), 2 * k))
     # a bucket's last bit is its kind
     of = lambda kind, n: F.array(*(F.xxhash64(F.lit(k), *(f"m{j}" for j in range(k, k + n))).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(kind)) for k in range(0, MINIMA, n)))
-    return found.select("id", sketch.alias("sketch"), F.explode_outer(F.when(F.col("kind") == 0, of(0, BAND[0])).otherwise(of(1, BAND[1]))).alias("bucket"))
-
-
-def meetings(signed: DataFrame) -> DataFrame:
-    """Columns bucket, id, kind, sketch, n (the bucket's lines) and first and first_sketch (its smallest id) of the lines that aren't alone in a bucket."""
-    w = Window.partitionBy("bucket")
-    met = signed.select("*", F.min(F.struct("id", "sketch")).over(w).alias("least"), F.count("*").over(w).alias("n")).where("n > 1")
-    kind = F.col("bucket").bitwiseAND(F.lit(1)).cast("int")
-    return met.select("bucket", "id", kind.alias("kind"), "sketch", "n", F.col("least.id").alias("first"), F.col("least.sketch").alias("first_sketch"))
+    return found.select("id", sketch.alias("sketch"), F.when(F.col("kind") == 0, of(0, BAND[0])).otherwise(of(1, BAND[1])).alias("buckets"))
 
 
-def _near(a: Column, b: Column) -> Column:
+def _near(a: Column, b: Column, kind: Column) -> Column:
     """Whether enough of the two-bit values of two sketches agree."""
     x = a.bitwiseXOR(b)
-    return SKETCH - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) >= F.when(F.col("kind") == 0, AGREE[0]).otherwise(AGREE[1])
+    return SKETCH - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) >= F.when(kind == 0, AGREE[0]).otherwise(AGREE[1])
+
+
+def meetings(signed: DataFrame) -> DataFrame:
+    """Columns bucket, id, n (the bucket's lines), first (its smallest id) and near (whether the sketches of both are) of the lines that aren't alone in a bucket."""
+    w = Window.partitionBy("bucket")
+    rows = signed.select("id", "sketch", F.explode_outer("buckets").alias("bucket"))
+    met = rows.select("*", F.min(F.struct("id", "sketch")).over(w).alias("least"), F.count("*").over(w).alias("n")).where("n > 1")
+    near = _near(F.col("sketch"), F.col("least.sketch"), F.col("bucket").bitwiseAND(F.lit(1)))
+    # few files, in which the rows of a line are together
+    return met.select("bucket", "id", "n", F.col("least.id").alias("first"), near.alias("near")).repartition("id")
 
 
 def candidates(met: DataFrame) -> DataFrame:
     """Pairs (u, v) of a line and the first line of a bucket that it is in, of near sketches."""
-    near = met.where((F.col("first") != F.col("id")) & _near(F.col("sketch"), F.col("first_sketch")))
-    return near.select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    return met.where((F.col("first") != F.col("id")) & F.col("near")).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -121,7 +124,9 @@ def _open(rows: DataFrame) -> DataFrame:
 def unsettled(met: DataFrame, joined: DataFrame) -> DataFrame:
     """Columns bucket, n, id and component of the lines that share a bucket with a line of another component, neither being its first."""
     rest = met.where((F.col("n") > 2) & (F.col("first") != F.col("id"))).join(joined, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
-    return rest.join(_open(rest), "bucket", "left_semi")
+    w = Window.partitionBy("bucket")
+    several = rest.select("*", F.min("component").over(w).alias("least"), F.max("component").over(w).alias("most")).where("least <> most")
+    return several.select("bucket", "n", "id", "component")
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
@@ -232,7 +237,12 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """Verified links (u, v) between ids of different lines."""
     lines = lines_of(docs, key, text)
-    met = stash(meetings(signatures(lines)), "line-buckets")
+    # signatures are stashed apart so that the shuffles of minima and of buckets needn't be on disk at once
+    signed = stash(signatures(lines), "line-signatures")
+    drop_shuffles(docs.sparkSession)
+    met = stash(meetings(signed), "line-buckets")
+    forget(signed)
+    drop_shuffles(docs.sparkSession)
     texts = texts_of_ids(lines, met.select("id").distinct())
     links = verified(candidates(met), texts, least)
     rest = stash(unsettled(met, components(links)), "line-rest")
@@ -259,7 +269,8 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """Columns key and place of each line that goes."""
     joined = components(similar_lines(docs, key, text, least))
-    seen = lines_of(docs, key, text).select("id", "key", "place")
+    # texts are split and hashed once for both uses
+    seen = stash(lines_of(docs, key, text).select("id", "key", "place"), "seen-lines")
     # null keys come last
     at = F.struct(F.col("key").isNull().alias("none"), "key", "place")
     groups = seen.groupBy("id").agg(F.count("*").alias("n"), F.min(at).alias("at")).join(joined, "id", "left")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -338,6 +339,35 @@ def test_line_dedup_leaves_no_files(spark):
     assert links.count() and len(there() - before) == 1
 
 
+def test_line_dedup_shuffles_apart(spark, monkeypatch):
+    """Lines are read once for both signatures; their shuffle is gone when the one of the buckets starts, which needs no plan of theirs."""
+    block = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = block.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    plans = []
+
+    def met(signed, meet=line_dedup.meetings):
+        plans.append(signed._jdf.queryExecution().executedPlan().toString())
+        until = time.time() + 30
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.2)
+        plans.append(shuffles() - before)
+        return meet(signed)
+
+    monkeypatch.setattr(line_dedup, "meetings", met)
+    a = "the same line stands in many documents of this small corpus"
+    docs = corpus(spark, [a, a.replace("many", "meny"), "ha ha", "ha ha ha"])
+    own = line_dedup.signatures(line_dedup.lines_of(docs, "doc_id", "text"))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert own.groupBy("id").count().select("count").distinct().count() == 2
+    before = shuffles()
+    assert line_dedup.similar_lines(docs).count()
+    assert "Exchange" not in plans[0] and not plans[1]
+
+
 def test_line_dedup(spark):
     a, b = "the same line stands in many documents of this small corpus", "another line that nobody else has at all in here"
     docs = corpus(spark, [f"{a}\n{b}", f"x\n\n{a}", f"{a.replace('many', 'meny')}\n\nend", a])
