@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, forget, stash
+from .common import forget, stash, stash_alone
 from .components import components
 
 #: Minima of a signature; minima of a band, for long and short shingles; a sketch has two bits of SKETCH minima, of which so many must agree.
@@ -238,11 +238,9 @@ def similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     """Verified links (u, v) between ids of different lines."""
     lines = lines_of(docs, key, text)
     # signatures are stashed apart so that the shuffles of minima and of buckets needn't be on disk at once
-    signed = stash(signatures(lines), "line-signatures")
-    drop_shuffles(docs.sparkSession)
-    met = stash(meetings(signed), "line-buckets")
+    signed = stash_alone(signatures(lines), "line-signatures")
+    met = stash_alone(meetings(signed), "line-buckets")
     forget(signed)
-    drop_shuffles(docs.sparkSession)
     texts = texts_of_ids(lines, met.select("id").distinct())
     links = verified(candidates(met), texts, least)
     rest = stash(unsettled(met, components(links)), "line-rest")
