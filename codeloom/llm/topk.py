@@ -86,7 +86,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     per_cell = max(256, min(CANDIDATE_ROWS, CELL_BYTES // (8 * dim)))
     spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n // 512))
     groups, blocks = max(1, math.ceil(n / per_cell), spread), max(1, math.ceil(n_queries / QUERY_ROWS))
-    group, block = F.pmod(F.xxhash64("id"), F.lit(groups)), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks))
+    # both sides' keys need one type: an int and a long of equal value hash apart, and their cells would never meet
+    group, block = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")
     asked = rows.where(is_query).select("id", "v", "dim", block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     given = rows.select("id", "v", "dim", group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     schema = pa.schema([("query_id", pa.int64()), ("no", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])

@@ -224,6 +224,20 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == sorted(want)
 
 
+def test_top_k_of_several_cells_and_partitions(spark):
+    rng = np.random.default_rng(7)
+    x = np.floor(256 * rng.normal(size=(1600, 8)).astype(np.float32).astype(float)).astype(np.int64)
+    rows = [(i, [float(c) / 256 for c in v]) for i, v in enumerate(x)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else Spark puts a small table's cells in one partition
+    try:
+        out = rows_of(topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    want = [(i, k + 1, j, int(x[i] @ x[j])) for i in range(0, 1600, 50) for k, j in enumerate(sorted((j for j in range(1600) if j != i), key=lambda j: (-int(x[i] @ x[j]), j))[:5])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == want
+
+
 def test_top_k_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [3.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in rows_of(topk.search(few))] == [(1, 1)]
