@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The reciprocal-rank constant; Okapi's k1, b and floor of negative idf.
 RRF_K, K1, B, EPSILON = 60, 1.5, 0.75, 0.25
+#: Rows of a cell of the vector search: queries, candidates (fewer for long vectors: CELL_BYTES).
+QUERY_ROWS, CANDIDATE_ROWS, CELL_BYTES = 2048, 16384, 32 << 20
 
 
 def norm(v: Column) -> Column:
@@ -25,34 +27,49 @@ def normalise(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Exact top-k inner product: query_id, [by], key, score, rank0. Queries (query_id, q) are few and packed
-    into blocks that every group of candidates meets by an equi-join on the group's number; scores are
-    matrix products over Arrow batches, and each task keeps k rows of each query before the shuffle."""
+    """Exact top-k inner product: query_id, [by], key, score, rank0; ties go to the smaller key.
+
+    Blocks of queries meet groups of candidates, both of bounded size, by an equi-join on their numbers and on the
+    vectors' length; each cell keeps k rows of each query before the shuffle. A matrix product, whose sums run in any
+    order, only rules candidates out, with room for its rounding; scores of the others are sums from the first component
+    to the last, so that equal vectors tie. Null vectors take no part."""
     spark = vectors.sparkSession
-    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
-    group = F.pmod(F.xxhash64(key), F.lit(groups))
-    asked = queries.select("query_id", "q").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    given = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"), (F.col(by).cast("string") if by else F.lit("")).alias("part"), group.alias("g"))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), F.size("q").alias("dim")).where("q is not null")
+    given = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(by).cast("string") if by else F.lit("")).alias("part"), F.size(column).alias("dim")).where("v is not null")
+    n, dim = given.agg(F.count("*"), F.max("dim")).first()
+    n_queries = asked.count()
+    groups = max(math.ceil(n / max(256, min(CANDIDATE_ROWS, CELL_BYTES // (8 * max(1, dim or 0))))), min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n // 512)), 1)
+    blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
+    # both sides' keys need one type: an int and a long of equal value hash apart, and their cells would never meet
+    group, block = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    asked = asked.withColumn("b", block).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    given = given.withColumn("g", group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("part", pa.string()), ("id", pa.int64()), ("score", pa.float64())])
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            q = np.array(left.column("q").to_pylist(), float)
-            v = np.array(right.column("v").to_pylist(), float)
-            ids, parts, qid = right.column("id").to_numpy(), np.array(right.column("part").to_pylist()), left.column("query_id").to_pylist()
-            for p in sorted(set(parts.tolist())):
-                own = np.flatnonzero(parts == p)
-                scores = q @ v[own].T
-                for i, s in zip(qid, scores):
-                    some = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
-                    some = np.flatnonzero(s >= s[some].min()) if len(some) else some
-                    best = some[np.lexsort((ids[own[some]], -s[some]))[:k]]
-                    for col, x in zip(out, ([i] * len(best), [p] * len(best), ids[own[best]].tolist(), s[best].tolist())):
-                        col += x
+            side = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            q, v = side(left, "q"), side(right, "v")
+            ids, qid = right.column("id").to_numpy(), left.column("query_id").to_pylist()
+            parts = right.column("part").combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = parts.indices.to_numpy()
+            slack = 4 * (q.shape[1] + 1) * np.finfo(float).eps * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())
+            for code, p in enumerate(parts.dictionary.to_pylist()):
+                own = np.flatnonzero(codes == code)
+                x, names = v[own], ids[own]
+                for at in range(0, len(q), 64):
+                    for i, s in enumerate(q[at : at + 64] @ x.T, at):
+                        least = np.partition(s, len(s) - k)[len(s) - k] - slack[i] if len(s) > k else -np.inf
+                        some = np.flatnonzero(~(s < least))
+                        score = np.add.accumulate(x[some] * q[i], axis=1)[:, -1] if q.shape[1] else np.zeros(len(some))
+                        best = np.lexsort((names[some], -score))[:k]
+                        for col, y in zip(out, ([qid[i]] * len(best), [p] * len(best), names[some[best]].tolist(), score[best].tolist())):
+                            col += y
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    found = asked.groupBy("g").cogroup(given.groupBy("g")).applyInArrow(cell, "query_id long, part string, id long, score double")
+    on = ("g", "b", "dim")
+    found = asked.groupBy(*on).cogroup(given.groupBy(*on)).applyInArrow(cell, "query_id long, part string, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")) - 1
     out = found.withColumn("rank0", rank).where(F.col("rank0") < k)
     return out.select("query_id", *([F.col("part").alias(by)] if by else []), F.col("id").alias(key), "score", "rank0")

@@ -1,5 +1,6 @@
 import subprocess
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -297,3 +298,22 @@ def test_embedder_and_manifest(tmp_path):
     (tmp_path / "own.toml").write_text('[[repos]]\nname = "two"\n')
     names = lambda *p: [r["name"] for r in read_manifest(*map(str, p))]
     assert names(tmp_path / "m.toml", tmp_path / "none.toml") == ["one"] and names(tmp_path / "m.toml", tmp_path / "own.toml") == ["one", "two"]
+
+
+def test_vector_top_k_of_several_cells_and_ties(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24)).astype(np.float32).astype(float)
+    x[700:1300] = x[:600]  # equal vectors in other cells and places
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, tier int")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else Spark puts a small table's cells in one partition
+    try:
+        one = vector.top_k(asked, rows, 10).collect()
+        tiers = vector.top_k(asked, rows, 4, by="tier").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    score = {i: np.add.accumulate(x * x[i], axis=1)[:, -1] for i in range(0, 1500, 50)}
+    best = lambda i, of, k: sorted(of, key=lambda j: (-score[i][j], j))[:k]
+    assert sorted((r["query_id"], r["rank0"], r["vec_id"], r["score"]) for r in one) == [(i, n, j, score[i][j]) for i in score for n, j in enumerate(best(i, range(1500), 10))]
+    assert sorted((r["query_id"], r["tier"], r["rank0"], r["vec_id"]) for r in tiers) == [(i, str(t), n, j) for i in score for t in range(3) for n, j in enumerate(best(i, range(t, 1500, 3), 4))]
