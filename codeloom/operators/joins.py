@@ -67,18 +67,18 @@ def corroborate(calls: DataFrame, imports: DataFrame) -> DataFrame:
 def containing(points: DataFrame, intervals: DataFrame, key: str = "path", point: str = "line", start: str = "start_line", stop: str = "end_line", name: str = "fqn", innermost: bool = False, width: int = 64) -> DataFrame:
     """Range join: for each point the first interval around it (or the innermost, by start).
 
-    Intervals are laid on a grid of ``width`` and met by an equi-join on key and cell, so neither
+    Of equal intervals only the name that would win takes part, and each place (key and point) is looked up once, however
+    many points lie there. Intervals are laid on a grid of ``width`` and met by an equi-join on key and cell, so neither
     a cross join nor a whole key in one task is needed; an interval longer than a cell stands in several.
     """
-    cells = intervals.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(stop).alias("__stop"), F.col(name).alias("__name"))
-    cells = cells.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor(F.col("__stop") / width))))
-    # equal points are met once and come back as often as they came
-    at = points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("__times")).withColumn("__cell", F.floor(F.col(point) / width))
-    inside = (at[key] == cells["__key"]) & (at["__cell"] == cells["__cell"]) & at[point].between(cells["__start"], cells["__stop"])
-    met = at.join(cells, inside, "left").drop(cells["__cell"]).drop("__cell")
-    best = F.max_by("__name", F.struct("__start", "__name")) if innermost else F.min_by("__name", F.struct("__start", F.col("__name")))
-    found = met.groupBy(*points.columns, "__times").agg(best.alias("enclosing"))
-    return found.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")
+    named = F.struct(F.col(name).alias("name"))
+    spans = intervals.groupBy(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(stop).alias("__stop")).agg((F.max(named) if innermost else F.min(named))["name"].alias("__name"))
+    cells = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor(F.col("__stop") / width))))
+    at = points.select(F.col(key).alias("__at"), F.col(point).alias("__point")).distinct().withColumn("__cell", F.floor(F.col("__point") / width))
+    inside = (at["__at"] == cells["__key"]) & (at["__cell"] == cells["__cell"]) & at["__point"].between(cells["__start"], cells["__stop"])
+    best = F.max_by("__name", F.struct("__start", "__name")) if innermost else F.min_by("__name", F.struct("__start", "__name"))
+    found = at.join(cells, inside).groupBy("__at", "__point").agg(best.alias("enclosing"))
+    return points.join(found, (points[key] == found["__at"]) & (points[point] == found["__point"]), "left").drop("__at", "__point")
 
 
 def hunk_overlap(hunks: DataFrame, symbols: DataFrame) -> DataFrame:

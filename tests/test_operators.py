@@ -317,3 +317,25 @@ def test_vector_top_k_of_several_cells_and_ties(spark):
     best = lambda i, of, k: sorted(of, key=lambda j: (-score[i][j], j))[:k]
     assert sorted((r["query_id"], r["rank0"], r["vec_id"], r["score"]) for r in one) == [(i, n, j, score[i][j]) for i in score for n, j in enumerate(best(i, range(1500), 10))]
     assert sorted((r["query_id"], r["tier"], r["rank0"], r["vec_id"]) for r in tiers) == [(i, str(t), n, j) for i in score for t in range(3) for n, j in enumerate(best(i, range(t, 1500, 3), 4))]
+
+
+def test_containing_looks_each_place_up_once(spark):
+    """Many equal points in many equal intervals: the join's rows are the places' spans, not the product."""
+    points = spark.range(2000).select(F.lit("f").alias("path"), (F.col("id") % 4 + 10).cast("int").alias("line"), F.col("id").alias("at"))
+    spans = spark.range(3000).select(F.lit("f").alias("path"), (F.col("id") % 2 + 1).cast("int").alias("start_line"), F.lit(90).alias("end_line"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("fqn"))
+    for innermost, want in ((False, "s0000"), (True, "s2999")):
+        found = joins.containing(points, spans, innermost=innermost)
+        assert {(r["enclosing"], r["n"]) for r in found.groupBy("enclosing").agg(F.count("*").alias("n")).collect()} == {(want, 2000)}
+        met, todo = [], [found._jdf.queryExecution().executedPlan()]
+        found.collect()
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+                continue
+            if "Join" in node.nodeName():
+                met.append(node.metrics().apply("numOutputRows").value())
+            if node.nodeName().endswith("QueryStage"):
+                todo.append(node.plan())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert met and max(met) <= 2000
