@@ -24,9 +24,11 @@ def bind_heritage(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] =
     loose = loose.join(symbols.select(F.col("fqn").alias("target")), "target", "left_anti")
     home = symbols.select(F.col("fqn").alias("source_fqn"), F.col("path").alias("source_path"))
     types = symbols.where(F.col("kind").isin(*kinds)).select(F.col("name").alias("target"), F.col("fqn").alias("type_fqn"), F.col("path").alias("type_path"))
-    met = loose.join(home, "source_fqn", "left").join(types, "target")
-    near = F.when(F.col("type_path") == F.col("source_path"), F.col("type_fqn"))
-    told = met.groupBy("source_fqn", "target", "kind").agg(F.count(near).alias("n_near"), F.max(near).alias("near"), F.count("*").alias("n"), F.max("type_fqn").alias("only"))
+    # types are counted a name, and a name and file, before edges meet them: common names would give edges x types rows
+    by_file = types.groupBy("target", F.col("type_path").alias("source_path")).agg(F.count("*").alias("n_near"), F.max("type_fqn").alias("near"))
+    by_name = types.groupBy("target").agg(F.count("*").alias("n"), F.max("type_fqn").alias("only"))
+    met = loose.join(home, "source_fqn", "left").join(by_name, "target").join(by_file, ["target", "source_path"], "left")
+    told = met.groupBy("source_fqn", "target", "kind").agg(F.sum(F.coalesce("n_near", F.lit(0))).alias("n_near"), F.max("near").alias("near"), F.sum("n").alias("n"), F.max("only").alias("only"))
     bound = F.when(F.col("n_near") == 1, F.col("near")).when((F.col("n_near") == 0) & (F.col("n") == 1), F.col("only"))
     return told.select("source_fqn", bound.alias("target"), "kind").where("target is not null")
 

@@ -319,6 +319,18 @@ def test_vector_top_k_of_several_cells_and_ties(spark):
     assert sorted((r["query_id"], r["tier"], r["rank0"], r["vec_id"]) for r in tiers) == [(i, str(t), n, j) for i in score for t in range(3) for n, j in enumerate(best(i, range(t, 1500, 3), 4))]
 
 
+def joined_rows(df):
+    """Rows out of each join of a plan that is run here."""
+    met, todo = [], [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            met.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if node.nodeName().endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    return met
+
+
 def test_containing_looks_each_place_up_once(spark):
     """Many equal points in many equal intervals: the join's rows are the places' spans, not the product."""
     points = spark.range(2000).select(F.lit("f").alias("path"), (F.col("id") % 4 + 10).cast("int").alias("line"), F.col("id").alias("at"))
@@ -326,16 +338,17 @@ def test_containing_looks_each_place_up_once(spark):
     for innermost, want in ((False, "s0000"), (True, "s2999")):
         found = joins.containing(points, spans, innermost=innermost)
         assert {(r["enclosing"], r["n"]) for r in found.groupBy("enclosing").agg(F.count("*").alias("n")).collect()} == {(want, 2000)}
-        met, todo = [], [found._jdf.queryExecution().executedPlan()]
-        found.collect()
-        while todo:
-            node = todo.pop()
-            if node.nodeName() == "AdaptiveSparkPlan":
-                todo.append(node.executedPlan())
-                continue
-            if "Join" in node.nodeName():
-                met.append(node.metrics().apply("numOutputRows").value())
-            if node.nodeName().endswith("QueryStage"):
-                todo.append(node.plan())
-            todo += [node.children().apply(i) for i in range(node.children().size())]
+        met = joined_rows(found)
         assert met and max(met) <= 2000
+
+
+def test_heritage_of_common_names(spark):
+    """Edges meet a name's counts, not each type of that name; repeated rows and unknown sources count as they did."""
+    symbols = [(f"T{i}", f"f{i % 7}", "class", "Common") for i in range(500)] + [(f"E{i}", f"g{i % 5}", "class", f"E{i}") for i in range(300)]
+    symbols += [("N1", "f0", "class", "Near"), ("N2", "f1", "class", "Near"), ("O1", "f9", "class", "Only"), ("X", "f1", "class", "X"), ("X", "f1", "class", "X"), ("Y", "h", "class", "Y"), ("F", "f9", "function", "Only")]
+    edges = [(f"E{i}", "Common", "EXTENDS", None) for i in range(300)] + [("X", "Near", "EXTENDS", None), ("Y", "Only", "EXTENDS", None), ("T1", "Near", "IMPLEMENTS", None), ("?", "Only", "EXTENDS", None), ("?", "Near", "EXTENDS", None)]
+    edges += [("Y", "Only", "IMPLEMENTS", None)] * 2
+    bound = joins.bind_heritage(spark.createDataFrame(edges, "source_fqn string, target string, kind string, resolved_target string"), spark.createDataFrame(symbols, "fqn string, path string, kind string, name string"))
+    want = [("?", "O1", "EXTENDS"), ("T1", "N2", "IMPLEMENTS"), ("Y", "O1", "EXTENDS")]
+    assert sorted((r["source_fqn"], r["target"], r["kind"]) for r in bound.collect()) == want
+    assert max(joined_rows(bound)) <= 400
