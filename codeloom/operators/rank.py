@@ -86,10 +86,16 @@ def first_per_file(ranking: DataFrame, by: str = "query_id") -> DataFrame:
 
 
 def bucket_cap(rows: DataFrame, bucket: str, caps: dict[str, int], by: str = "query_id") -> DataFrame:
-    """At most so many rows of each bucket, in order; buckets without a cap stay whole."""
-    w = Window.partitionBy(by, bucket).orderBy("pos")
+    """At most so many rows of each bucket, in order; buckets without a cap stay whole.
+
+    Shares of a bucket are capped first, and what is left together: no task holds a whole bucket. Uncapped rows stay in their share."""
     most = F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(v))))[F.col(bucket)]
-    return rows.withColumn("__r", F.row_number().over(w)).where(most.isNull() | (F.col("__r") <= most)).drop("__r")
+    kept = rows.withColumn("__most", most).withColumn("__share", F.pmod(F.xxhash64("pos"), F.lit(512)))
+    for share in (F.col("__share"), F.when(F.col("__most").isNull(), F.col("__share"))):
+        kept = kept.withColumn("__part", share)
+        w = Window.partitionBy(by, bucket, "__part").orderBy("pos")
+        kept = kept.withColumn("__r", F.row_number().over(w)).where(F.col("__most").isNull() | (F.col("__r") <= F.col("__most")))
+    return kept.drop("__most", "__share", "__part", "__r")
 
 
 def iterate(query: str, retrieve, rounds: int = 3, enough: float = 0.85) -> list[dict]:

@@ -33,20 +33,23 @@ def semantic_code_search(queries: DataFrame, chunks: DataFrame, k: int = 15, bud
 def find_similar_code(hits: DataFrame, snippet: str, symbol: str | None = None, weak: int = 4) -> DataFrame:
     """First hit of each file as origin, caller, high or weak (at most ``weak``)."""
     flat = re.sub(r"\s+", "", snippet)
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    rows = rank.first_per_file(hits.withColumn("__top", top))
+    top = hits.groupBy(F.col("query_id").alias("__q")).agg(F.max("score").alias("__top"))  # one row a query
     body = F.regexp_replace("text", r"\s+", "")
-    origin = body.contains(flat) | F.lit(flat).contains(body) | (F.col("score") >= ORIGIN * F.col("__top"))
     writes, reads = T.op_profile(F.col("text"))
     low = snippet.lower()
     w, r = any(v in low for v in T.WRITE_VERBS), any(v in low for v in T.READ_VERBS)
     mismatch = (reads & ~writes) if w and not r else (writes & ~reads) if r and not w else F.lit(False)
     mine = sorted({x for x in re.findall(r"[a-zA-Z_]\w{3,}", snippet) if x.lower() not in T.STOP_WORDS and (re.search("[A-Z]", x) or "_" in x)})
-    shared = F.size(F.array_intersect(T.domain_keywords(F.col("text")), F.array(*map(F.lit, mine)).cast("array<string>")))
-    rated = F.col("score") / F.col("__top") + KEYWORD_BONUS * shared - F.when(mismatch, MISMATCH).otherwise(0.0)
-    caller = F.col("text").contains(symbol) if symbol else F.lit(False)
-    bucket = F.when(origin, "origin").when(caller, "caller").when(rated >= HIGH, "high").otherwise("weak")
-    return rank.bucket_cap(rows.withColumn("bucket", bucket).withColumn("rated", rated), "bucket", {"weak": weak}).drop("__top")
+    words = T.domain_keywords(F.coalesce("text", F.lit("")))
+    shared = F.size(F.array_intersect(words, F.array(*map(F.lit, mine)))) if mine else F.lit(0)
+    # what reads texts comes before the shuffles, which then need no texts; blank texts are part of no snippet
+    told = hits.withColumn("__same", F.coalesce(body.contains(flat) | ((body != "") & F.lit(flat).contains(body)), F.lit(False)))
+    told = told.withColumn("__caller", F.col("text").contains(symbol) if symbol else F.lit(False)).withColumn("__shared", shared).withColumn("__mismatch", mismatch)
+    rows = rank.first_per_file(told).join(F.broadcast(top), F.col("query_id").eqNullSafe(F.col("__q")))
+    origin = F.col("__same") | (F.col("score") >= ORIGIN * F.col("__top"))
+    rated = F.col("score") / F.col("__top") + KEYWORD_BONUS * F.col("__shared") - F.when(F.col("__mismatch"), MISMATCH).otherwise(0.0)
+    bucket = F.when(origin, "origin").when(F.col("__caller"), "caller").when(rated >= HIGH, "high").otherwise("weak")
+    return rank.bucket_cap(rows.withColumn("bucket", bucket).withColumn("rated", rated), "bucket", {"weak": weak}).drop("__q", "__top", "__same", "__caller", "__shared", "__mismatch")
 
 
 def analyze_blast_radius(hits: DataFrame, edges: DataFrame, anchor: str, symbol: str, parallel: int = 10) -> DataFrame:
@@ -107,13 +110,15 @@ def trace_data_flow(hits: DataFrame, every: DataFrame, symbol: str) -> DataFrame
     for ext, role, pattern in FLOW_RULES:
         rules.setdefault(role, []).append(F.col("path").endswith(ext) & F.col("text").rlike("(?m)" + pattern.replace("{name}", re.escape(symbol))))
     any_of = lambda role: _or(rules[role])
-    found = rank.first_per_file(hits).select("path", "text", "pos")
-    swept = every.select("path", "text").where(any_of("definition") | any_of("producer")).join(found, "path", "left_anti").withColumn("pos", F.lit(1 << 30))
-    rows = found.unionByName(swept)
-    stores = F.col("text").rlike(T.STORE_WRITE) & F.col("text").contains(symbol)
-    transforms = T._has(F.col("text"), ".filter(", ".map(", ".sort(", "useMemo(") & F.col("text").contains(symbol)
-    bucket = F.when(any_of("definition"), "DEFINITIONS").when(any_of("producer") | stores, "PRODUCERS").when(transforms, "TRANSFORMERS").when(F.col("text").contains(symbol), "CONSUMERS")
-    rows = rows.withColumn("bucket", bucket).where("bucket is not null").withColumn("layer", T.trace_layer(F.col("path"), F.col("text"))).withColumn("query_id", F.lit(0))
+    names = F.col("text").contains(symbol)
+    stores = names & F.col("text").contains("(") & F.col("text").rlike(T.STORE_WRITE)
+    transforms = T._has(F.col("text"), ".filter(", ".map(", ".sort(", "useMemo(") & names
+    bucket = F.when(any_of("definition"), "DEFINITIONS").when(any_of("producer") | stores, "PRODUCERS").when(transforms, "TRANSFORMERS").when(names, "CONSUMERS")
+    # buckets and layers are told where the texts are read: the shuffles need no texts
+    told = lambda rows: rows.withColumn("bucket", bucket).withColumn("layer", F.when(F.col("bucket").isNotNull(), T.trace_layer(F.col("path"), F.col("text"))))
+    found = rank.first_per_file(told(hits)).select("path", "bucket", "layer", "pos")
+    swept = told(every.select("path", "text").where(names & (any_of("definition") | any_of("producer")))).join(found, "path", "left_anti").select("path", "bucket", "layer", F.lit(1 << 30).alias("pos"))
+    rows = found.unionByName(swept).where("bucket is not null").withColumn("query_id", F.lit(0))
     return rank.bucket_cap(rows, "bucket", {"TRANSFORMERS": 12, "CONSUMERS": 15}).select("path", "bucket", "layer", "pos")
 
 
