@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The reciprocal-rank constant; Okapi's k1, b and floor of negative idf.
 RRF_K, K1, B, EPSILON = 60, 1.5, 0.75, 0.25
+#: A term of lower-cased text, as ``tokens`` finds it.
+_WORD = re.compile(r"[a-z0-9]+")
 #: Rows of a cell of the vector search: queries, candidates (fewer for long vectors: CELL_BYTES).
 QUERY_ROWS, CANDIDATE_ROWS, CELL_BYTES = 2048, 16384, 32 << 20
 
@@ -94,19 +98,89 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", k: int | None
 
     idf is ln(N - n + 0.5) - ln(n + 0.5); negative ones become EPSILON times the mean idf. The
     terms of all documents are counted: the floor needs the mean idf of the whole vocabulary.
+
+    A document is scored where it is read: counts of terms (one row a term and batch) and scores are all that is
+    shuffled. The queries' terms with their weights go to every task; queries are few. Rows that repeat a key count
+    as one document, so these few are counted and scored by joins.
     """
-    words = docs.select(key, tokens(F.col("text")).alias("w"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w").cast("double")).alias("avg_len"))
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    posted = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    counts = posted.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("n"))
-    raw = df.crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    met = terms.join(idf, "term").join(counts, "term").crossJoin(F.broadcast(size))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    scores = met.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("id"), F.lower("text").alias("low"))
+    twice = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").select("id")
+    repeated = not twice.isEmpty()
+    once = rows.join(twice, "id", "left_anti") if repeated else rows
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = asked.collect()
+
+    def count(batches):
+        for batch in batches:
+            n: Counter = Counter()
+            total = 0
+            for low in batch.column("low").to_pylist():
+                if low is not None:
+                    w = _WORD.findall(low)
+                    total += len(w)
+                    n.update(set(w))
+            nulls = batch.column("low").null_count
+            yield pa.RecordBatch.from_pydict({"term": [None, *n], "n": [batch.num_rows, *n.values()], "words": [total, *[0] * len(n)], "nulls": [nulls, *[0] * len(n)]}, schema=counted)
+
+    counted = pa.schema([("term", pa.string()), ("n", pa.int64()), ("words", pa.int64()), ("nulls", pa.int64())])
+    parts = once.select("low").mapInArrow(count, "term string, n long, words long, nulls long")
+    if repeated:
+        words = rows.join(twice, "id", "left_semi").select("id", F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+        posted = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        more = posted.groupBy("term").agg(F.count_distinct("id").alias("n"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("nulls"))
+        sizes = words.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words"), F.count_if(F.col("w").isNull()).alias("nulls"))
+        parts = parts.unionByName(more).unionByName(sizes)
+    counts = parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.sum("nulls").alias("nulls")).persist()
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    try:
+        whole = counts.where("term is null").first()
+        n_docs, total, nulls = (whole["n"], whole["words"], whole["nulls"]) if whole else (0, 0, 0)
+        avg_len = total / (n_docs - nulls) if n_docs > nulls else 0.0
+        raw = (F.log(n_docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw")
+        mean = counts.where("term is not null").agg(F.avg(raw)).first()[0]
+        needed = F.broadcast(asked.select("term").distinct())  # the queries' terms
+        idf = {r["term"]: EPSILON * mean if r["raw"] < 0 else r["raw"] for r in counts.join(needed, "term").select("term", raw).collect()}
+    finally:
+        counts.unpersist()
+    ids = sorted({r["query_id"] for r in wanted if r["term"] in idf}, key=repr)
+    place = {q: i for i, q in enumerate(ids)}
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for r in wanted:
+        if r["term"] in idf:
+            by_term.setdefault(r["term"], []).append((place[r["query_id"]], r["qtf"] * idf[r["term"]]))
+    table = spark.sparkContext.broadcast((ids, {t: (np.array([i for i, _ in x]), np.array([y for _, y in x])) for t, x in by_term.items()}))
+
+    def score(batches):
+        qids, weights = table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                out, names, sums = [], [], []
+                for i, low in enumerate(part.column("low").to_pylist()):
+                    words = _WORD.findall(low or "")
+                    met, s = np.zeros(len(qids), bool), np.zeros(len(qids))
+                    for t, tf in Counter(words).items():
+                        if t in weights:
+                            who, w = weights[t]
+                            s[who] += w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / avg_len))
+                            met[who] = True
+                    hit = np.flatnonzero(met)
+                    out += [i] * len(hit)
+                    names += [qids[j] for j in hit.tolist()]
+                    sums += s[hit].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(names, arrow[0].type), part.column("id").take(pa.array(out, pa.int64())), pa.array(sums, pa.float64())], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    scores = once.select("id", "low").mapInArrow(score, schema)
+    if repeated:
+        known = spark.createDataFrame(list(idf.items()), "term string, idf double")
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_len)))
+        scores = scores.unionByName(asked.join(known, "term").join(posted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).select("query_id", "id", "score"))
+    scores = scores.withColumnRenamed("id", key)
     if k is None:
         return scores
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))

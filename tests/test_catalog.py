@@ -59,6 +59,25 @@ def test_odd_texts(spark, tmp_path, name):
     assert plain(got) == plain(want)
 
 
+def test_bm25_shuffles_no_postings(spark, tmp_path):
+    """Null and empty texts and repeated ids score as in SQL; with unique ids only terms and ids are shuffled."""
+    import random
+
+    rng = random.Random(5)
+    some = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    for case, docs in (("unique", list(enumerate([*some, None, "", "W1 w2"]))), ("repeated", [(i // 2 if i < 40 else i, t) for i, t in enumerate([*some, None, ""])])):
+        at = tmp_path / case
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(i, t) for i, t in enumerate(some[:9])], "item_id long, text string").coalesce(1).write.parquet(str(at / "benchmark.parquet"))
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet/*.parquet')")
+        found = catalog.QUERIES["bm25"](spark, str(at))
+        assert plain(found.toPandas()) == plain(con.execute(catalog.ORACLE_SQL["bm25"]).df())
+        if case == "unique":
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
